@@ -1,20 +1,55 @@
-"""The corpus pipeline: language ID, near-dedup, line dedup, decontamination, tokenization."""
+"""The corpus pipeline: language ID, near-dedup, line dedup, decontamination, tokenization.
+
+STAGES lists the stages in order. Each takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the
+last return the columns of documents. Each stage's rows are written to the shared folder and read again by the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lathework.llm import bpe, decontam, langid, line_dedup
 from lathework.llm.common import write_table
 from lathework.llm.minhash import MinHashConfig, near_duplicates
+from lathework.llm.queries import tokenizer_path
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go: those whose text is null or has no letter. The prediction becomes lang."""
+    model = langid.train(docs.filter(~F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False))))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("__text"))
+    found = langid.predict(rows, model, doc_id="row", text="__text").filter(F.col("lang_pred") != "und")
+    kept = found.select("doc_id.*", "lang_pred")
+    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id (five-word shingles, 0.8)."""
     found = near_duplicates(docs, MinHashConfig(shingle=5, percent=80))
-    return docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    gone = write_table(found.filter("not kept").select("doc_id").distinct(), "pipeline-gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Long lines that an earlier document has go from the text; n_chars follows. No document goes."""
+    clean = line_dedup.line_dedup(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words (or the whole) of a benchmark item go."""
+    return decontam.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and their decoding, for every document left."""
+    coded = bpe.bpe_encode(docs, tokenizer_path())
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
-STAGES = [("minhash_near_dedup", near_dedup)]
+STAGES = [("language_id", language_id), ("minhash_near_dedup", near_dedup), ("line_dedup", dedup_lines), ("decontaminate", decontaminate), ("bpe", tokenize)]
+#: SQL can express neither the learned language filter nor BPE; tests/llm holds the run against a brute-force version.
 ORACLE_SQL = None
 
 

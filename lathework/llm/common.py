@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,16 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Shared:
+    """A broadcast of any object, with its class by value, as workers need not have this package. Callers bound its size."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self.data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get(self):
+        return pickle.loads(self.data.value)
+
+
 def lowered(text) -> object:
     """A-Z to lower case, other letters as they are."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER_AZ, UPPER_AZ.lower())
