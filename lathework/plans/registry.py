@@ -1,15 +1,537 @@
-"""Queries over the test tables for the curation operators, and their DuckDB SQL."""
+"""Queries over the test tables for the curation operators, and their DuckDB SQL.
+
+The tables hold no videos, so each operator runs on a column of like shape: events are score series (a user is a video, value
+the score), documents captions, conversations chats, part and documents sizes and durations, lineitem answers.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lathework.functions import scalars as X
+from lathework.operators import annotate, evaluate, examples, mix, packing, segments
+
+THRESHOLD, MAX_GAP = 100.0, 10
+KEYS = ["user_id"]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """Events as frames: seconds as a double, the score, and the event's number to break ties."""
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return table(spark, d, "events").select("user_id", "event_id", seconds.alias("t"), "value", "event_type")
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    return segments.gap_tolerant_segments(_events(spark, d), KEYS, "t", "value", THRESHOLD, MAX_GAP, order=["t", "event_id"])
+
+
+ISLANDS = f"""
+n AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+h AS (SELECT *, CASE WHEN n - lag(n) OVER (PARTITION BY user_id ORDER BY n) - 1 <= {MAX_GAP} THEN 0 ELSE 1 END AS opens FROM n WHERE value > {THRESHOLD}),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS segment FROM h),
+s AS (SELECT user_id, CAST(segment AS BIGINT) AS segment, min(t) AS "start", max(t) AS "end", count(*) AS n_positive FROM g GROUP BY ALL)"""
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def register(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- segments, words, names ---
+
+
+@register(f"WITH {ISLANDS} SELECT * FROM s")
+def segment_islands(spark, d):
+    return _segments(spark, d)
+
+
+@register(f"""WITH {ISLANDS}, l AS (SELECT user_id, max(t) AS last_t FROM n GROUP BY user_id)
+SELECT user_id, segment, greatest("start" - 1.5, 0.0) AS "start", least("end" + 1.5, last_t) AS "end", n_positive FROM s JOIN l USING (user_id)""")
+def segment_islands_buffered(spark, d):
+    return segments.gap_tolerant_segments(_events(spark, d), KEYS, "t", "value", THRESHOLD, MAX_GAP, buffer=1.5, order=["t", "event_id"])
+
+
+WORDS = "w AS (SELECT user_id, event_id, event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE t END AS ws, CASE WHEN event_id % 11 = 0 THEN NULL ELSE t + 1 END AS we FROM n), f AS (SELECT user_id, event_id, event_type, coalesce(ws, we - 0.01) AS ws, coalesce(we, ws + 0.01) AS we FROM w WHERE ws IS NOT NULL OR we IS NOT NULL)"
+
+
+def _words(spark, d):
+    e = _events(spark, d)
+    w = e.select("user_id", "event_id", "event_type", F.when(F.col("event_id") % 7 != 0, F.col("t")).alias("ws"), F.when(F.col("event_id") % 11 != 0, F.col("t") + 1).alias("we"))
+    return segments.fill_word_times(w)
+
+
+@register(f"""WITH {ISLANDS}, {WORDS} SELECT user_id, segment, string_agg(event_type, ' ' ORDER BY event_id) AS caption, count(*) AS n_words
+FROM s JOIN f USING (user_id) WHERE (ws >= "start" AND ws < "end") OR (we > "start" AND we <= "end") GROUP BY ALL""")
+def segment_words(spark, d):
+    found = segments.words_in_segments(_segments(spark, d), _words(spark, d), KEYS).withColumn("one", F.lit(1))
+    out = segments.caption_segments(found, ["user_id", "segment"], "event_type", "event_id")
+    return out.join(found.groupBy("user_id", "segment").agg(F.count("*").alias("n_words")), ["user_id", "segment"])
+
+
+@register(f"""WITH {ISLANDS}, {WORDS} SELECT user_id, segment, count(*) AS n_words FROM s JOIN f USING (user_id) WHERE ws BETWEEN "start" AND "end" AND we BETWEEN "start" AND "end" GROUP BY ALL""")
+def segment_words_contained(spark, d):
+    found = segments.words_in_segments(_segments(spark, d), _words(spark, d), KEYS, contained=True, bucket=86400.0)
+    return found.groupBy("user_id", "segment").agg(F.count("*").alias("n_words"))
+
+
+@register(f"""WITH {ISLANDS} SELECT user_id, segment, user_id || '_' || CAST(round_even("start" / 2, 0) AS BIGINT) || '_' || CAST(round_even("end" / 2, 0) AS BIGINT) || '.mp4' AS clip FROM s""")
+def segment_names(spark, d):
+    return _segments(spark, d).select("user_id", "segment", X.clip_name("user_id", F.col("start") / 2, F.col("end") / 2).alias("clip"))
+
+
+@register(f"""WITH {ISLANDS}, c AS (SELECT user_id || '_' || CAST(round_even("start", 0) AS BIGINT) || '_' || CAST(round_even("end", 0) AS BIGINT) AS clip FROM s)
+SELECT clip || '.mp4' AS clip, regexp_extract(clip, '^(.*)_([0-9]+)_([0-9]+)$', 1) AS video_id, CAST(regexp_extract(clip, '^(.*)_([0-9]+)_([0-9]+)$', 3) AS BIGINT) - CAST(regexp_extract(clip, '^(.*)_([0-9]+)_([0-9]+)$', 2) AS BIGINT) AS seconds FROM c""")
+def clip_info(spark, d):
+    clip = X.clip_name("user_id", F.col("start"), F.col("end"))
+    parts = F.regexp_extract(clip, r"^(.*)_([0-9]+)_([0-9]+)[.]mp4$", 3).cast("long") - F.regexp_extract(clip, r"^(.*)_([0-9]+)_([0-9]+)[.]mp4$", 2).cast("long")
+    return _segments(spark, d).select(clip.alias("clip"), X.clip_parts(clip)["video_id"].alias("video_id"), parts.alias("seconds"))
+
+
+@register(f"""WITH {ISLANDS} SELECT count(*) AS n, round(sum("end" - "start") / 3600, 4) AS hours, round(avg("end" - "start"), 4) AS mean_seconds FROM s""")
+def length_stats(spark, d):
+    out = evaluate.duration_stats(_segments(spark, d), "start", "end")
+    return out.select("n", F.round("hours", 4).alias("hours"), F.round("mean_seconds", 4).alias("mean_seconds"))
+
+
+# --- filters, joins, dedup ---
+
+
+@register("SELECT doc_id FROM documents WHERE len(string_split(text, ' ')) >= 10")
+def caption_min_words(spark, d):
+    return mix.min_words(table(spark, d, "documents"), "text").select("doc_id")
+
+
+@register("SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.quality = 1, false)")
+def relevance_filter(spark, d):
+    judged = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left").withColumn("is_relevant", F.col("quality") == 1)
+    return mix.flagged(judged, "is_relevant").select("doc_id")
+
+
+@register("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_anti(spark, d):
+    return segments.pending(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), ["doc_id"])
+
+
+@register("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def has_scores_semi(spark, d):
+    labels = table(spark, d, "labels")
+    return segments.scored_not_transcribed(table(spark, d, "documents").select("doc_id"), labels, labels.filter("toxic = 1"), ["doc_id"])
+
+
+@register("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'Warning: no source for ' || d.doc_id ELSE 'Success' END AS status FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def match_sources(spark, d):
+    return segments.match_sources(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
+
+
+@register("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
+def dedup_first(spark, d):
+    return mix.first_by_key(table(spark, d, "documents"), "text", ["doc_id"]).select("doc_id")
+
+
+@register("SELECT max(doc_id) AS doc_id, min(doc_id) AS first_place FROM documents GROUP BY text")
+def dedup_last(spark, d):
+    return mix.last_by_key(table(spark, d, "documents"), "text", "doc_id").select("doc_id", "first_place")
+
+
+@register("SELECT round(1 - count(DISTINCT text) / count(*), 9) AS duplicate_ratio, count(*) AS n_rows, count(DISTINCT text) AS n_kept FROM documents")
+def dup_ratio(spark, d):
+    out = mix.duplicate_ratio(table(spark, d, "documents"), "text")
+    return out.select(F.round("duplicate_ratio", 9).alias("duplicate_ratio"), "n_rows", "n_kept")
+
+
+MIX = (("en", 2.5), ("de", 0.29), ("fr", 1.0), ("es", 0.0))
+
+
+@register(
+    "WITH k AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY text ORDER BY CASE lang "
+    + " ".join(f"WHEN '{k}' THEN {i}" for i, (k, _) in enumerate(MIX))
+    + " END, doc_id) AS r FROM documents WHERE lang IN ('en', 'de', 'fr', 'es')), d AS (SELECT doc_id, lang FROM k WHERE r = 1), "
+    + "n AS (SELECT lang, count(*) AS n FROM d GROUP BY lang) "
+    + " UNION ALL ".join(
+        f"SELECT doc_id, '{k}' AS dataset_mix_source, unnest(range(1, {int(r)} + 1)) AS copy FROM d WHERE lang = '{k}' UNION ALL SELECT doc_id, '{k}', 0 FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42:{i}:' || doc_id), doc_id) AS r FROM d WHERE lang = '{k}') WHERE r <= (SELECT CAST(floor(CAST({r % 1!r} AS DOUBLE) * n) AS BIGINT) FROM n WHERE lang = '{k}')"
+        for i, (k, r) in enumerate(MIX)
+    )
+)
+def ratio_mix(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    parts = [mix.MixPart(docs.filter(F.col("lang") == k), r, k) for k, r in MIX]
+    return mix.ratio_mix(parts, "doc_id", 42, dedup_key="text").select("doc_id", "dataset_mix_source", F.col("copy").cast("long").alias("copy"))
+
+
+# --- shards and order ---
+
+ROWS = "WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) "
+
+
+def _numbered(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey")
+    return mix.ranked(orders, ["o_orderkey"], "r").withColumn("i", F.col("r") - 1), orders.count()
+
+
+@register(ROWS + "SELECT o_orderkey, CASE WHEN n // 7 = 0 THEN 6 ELSE least(i // greatest(n // 7, 1), 6) END AS shard FROM o")
+def shard_ranges(spark, d):
+    rows, n = _numbered(spark, d)
+    return rows.select("o_orderkey", mix.contiguous_shard(F.col("i"), n, 7).cast("long").alias("shard"))
+
+
+@register(ROWS + "SELECT o_orderkey, CASE WHEN n // 3 = 0 THEN 2 ELSE least(i // greatest(n // 3, 1), 2) END AS third FROM o")
+def split_thirds(spark, d):
+    rows, n = _numbered(spark, d)
+    return rows.select("o_orderkey", mix.contiguous_shard(F.col("i"), n, 3).cast("long").alias("third"))
+
+
+@register("SELECT o_orderkey, ntile(7) OVER (ORDER BY o_orderkey) - 1 AS part FROM orders")
+def array_split(spark, d):
+    rows, n = _numbered(spark, d)
+    return rows.select("o_orderkey", mix.even_shard(F.col("i"), n, 7).cast("long").alias("part"))
+
+
+@register("SELECT o_orderkey, row_number() OVER (ORDER BY md5('7:' || o_orderkey), o_orderkey) AS place FROM orders")
+def seeded_shuffle(spark, d):
+    return mix.ranked(table(spark, d, "orders").select("o_orderkey"), [mix.shuffle_key(7, "o_orderkey"), F.col("o_orderkey")], "place")
+
+
+@register("SELECT doc_id, row_number() OVER (ORDER BY length(text) DESC, doc_id) AS place FROM documents")
+def sort_by_length(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"))
+    return mix.ranked(rows, [F.col("n").desc(), F.col("doc_id")], "place").select("doc_id", "place")
+
+
+@register("SELECT p_partkey AS original_index, p_name FROM part")
+def merge_shards(spark, d):
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("original_index"), "p_name")
+    shards = [part.filter(F.col("original_index") % 3 == k).withColumn("key", F.col("original_index")) for k in range(3)]
+    return mix.merge_shards(shards, "key")
+
+
+# --- media geometry ---
+
+
+@register("SELECT p_partkey, len(l) AS n, list_sum(l) AS total FROM (SELECT p_partkey, list_transform(range(CAST(ceil(p_size / 0.5) AS BIGINT)), lambda i: CAST(i AS DOUBLE) * 0.5) AS l FROM part)")
+def frame_times(spark, d):
+    t = X.frame_times("p_size")
+    return table(spark, d, "part").select("p_partkey", F.size(t).cast("long").alias("n"), F.aggregate(t, F.lit(0.0), lambda s, x: s + x).alias("total"))
+
+
+SIZES = "SELECT p_partkey, CAST(200 + (p_partkey * 37) % 1800 AS INT) AS w, CAST(120 + (p_partkey * 53) % 1400 AS INT) AS h, 1 + p_size * 20 AS frames, 24.0 + p_partkey % 7 AS fps, CAST(p_size AS BIGINT) * 700 AS n_frames FROM part"
+
+
+def _sizes(spark, d):
+    p = table(spark, d, "part")
+    k = F.col("p_partkey")
+    return p.select("p_partkey", (200 + (k * 37) % 1800).cast("int").alias("w"), (120 + (k * 53) % 1400).cast("int").alias("h"), (1 + F.col("p_size") * 20).alias("frames"), (F.lit(24.0) + k % 7).alias("fps"), (F.col("p_size").cast("long") * 700).alias("n_frames"))
+
+
+INDICES = "CASE WHEN n_frames / fps <= 420 THEN list_transform(range(CAST(ceil(n_frames / CAST(fps AS DOUBLE)) AS BIGINT)), lambda i: CAST(trunc(i * CAST(fps AS DOUBLE)) AS BIGINT)) ELSE list_transform(range(420), lambda i: CASE WHEN i = 419 THEN n_frames - 1 ELSE CAST(trunc(i * (CAST(n_frames - 1 AS DOUBLE) / 419)) AS BIGINT) END) END"
+
+
+@register(f"SELECT p_partkey, len(l) AS n, CAST(list_sum(l) AS BIGINT) AS total FROM (SELECT p_partkey, {INDICES} AS l FROM ({SIZES}))")
+def frame_indices(spark, d):
+    i = X.frame_indices("n_frames", "fps")
+    return _sizes(spark, d).select("p_partkey", F.size(i).cast("long").alias("n"), F.aggregate(i, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+@register(f"""WITH z AS ({SIZES}), t AS (SELECT *, CAST(ceil(w / 28.0) * ceil(h / 28.0) AS BIGINT) // 2 AS per_frame FROM z)
+SELECT p_partkey, per_frame, per_frame * frames AS total, CASE WHEN per_frame * frames > 16384 THEN 16384 // frames ELSE per_frame END AS budget FROM t""")
+def token_budget(spark, d):
+    rows = _sizes(spark, d).withColumn("per_frame", X.tokens_per_frame("w", "h")).withColumn("total", F.col("per_frame") * F.col("frames"))
+    return rows.select("p_partkey", "per_frame", F.col("total").cast("long").alias("total"), X.budget_tokens(F.col("total"), F.col("frames"), F.col("per_frame"), 16384).alias("budget"))
+
+
+def _tok(w: str, h: str) -> str:
+    return f"(CAST(ceil({w} / 28.0) * ceil({h} / 28.0) AS BIGINT) // 2)"
+
+
+def _snap(x: str) -> str:
+    return f"greatest(round_even({x} / 28.0, 0) * 28, 56)"
+
+
+@register(f"""WITH RECURSIVE z AS (SELECT p_partkey, CAST(w AS DOUBLE) AS w, CAST(h AS DOUBLE) AS h, CAST(w AS DOUBLE) / h AS a, 10 + p_partkey % 200 AS target FROM ({SIZES})),
+r AS (SELECT p_partkey, w, h, a, target, 0 AS i FROM z UNION ALL
+ SELECT p_partkey, CASE WHEN h * 0.95 < 56 THEN nw WHEN w * 0.95 < 56 THEN greatest(round_even(nh * a, 0), 56) ELSE round_even(w * 0.95::DOUBLE, 0) END,
+  CASE WHEN h * 0.95 < 56 THEN greatest(round_even(nw / a, 0), 56) WHEN w * 0.95 < 56 THEN nh ELSE round_even(h * 0.95::DOUBLE, 0) END, a, target, i + 1
+ FROM (SELECT *, greatest(round_even(w * 0.95::DOUBLE, 0), round_even(56 * a, 0)) AS nw, greatest(round_even(h * 0.95::DOUBLE, 0), round_even(56 / a, 0)) AS nh FROM r WHERE {_tok('w', 'h')} > target AND i < 200)),
+e AS (SELECT p_partkey, arg_max(w, i) AS w, arg_max(h, i) AS h, any_value(a) AS a, any_value(target) AS target FROM r GROUP BY p_partkey),
+s AS (SELECT *, {_snap('w')} AS sw, {_snap('h')} AS sh FROM e),
+k AS (SELECT *, CASE WHEN abs(sw / w - 1) > abs(sh / h - 1) THEN sw ELSE {_snap('(sh * a)')} END AS kw, CASE WHEN abs(sw / w - 1) > abs(sh / h - 1) THEN {_snap('(sw / a)')} ELSE sh END AS kh FROM s)
+SELECT p_partkey, CAST(CASE WHEN {_tok('kw', 'kh')} <= target THEN kw WHEN kw > kh THEN kw - 28 ELSE {_snap('((kh - 28) * a)')} END AS INT) AS width,
+ CAST(CASE WHEN {_tok('kw', 'kh')} <= target THEN kh WHEN kw > kh THEN {_snap('((kw - 28) / a)')} ELSE kh - 28 END AS INT) AS height FROM k""")
+def fit_resolution(spark, d):
+    rows = _sizes(spark, d).withColumn("target", (10 + F.col("p_partkey") % 200))
+    return rows.withColumn("s", X.fit_resolution("w", "h", "target")).select("p_partkey", "s.width", "s.height")
+
+
+# --- chat and text ---
+
+PLAIN_CHAT = "m AS (SELECT conv_id, turn, role, text AS content FROM conversations UNION ALL SELECT conv_id, -1, 'system', 'You are a helpful assistant.' FROM conversations GROUP BY conv_id HAVING arg_min(role, turn) <> 'system')"
+
+
+def _messages(spark, d):
+    return examples.gather_messages(table(spark, d, "conversations"), "conv_id", "turn").withColumn("messages", examples.with_system("messages"))
+
+
+@register(f"WITH {PLAIN_CHAT} SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || content || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text FROM m GROUP BY conv_id")
+def chat_render(spark, d):
+    return _messages(spark, d).select("conv_id", examples.render("messages").alias("text"))
+
+
+@register(f"WITH {PLAIN_CHAT} SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || content || '</s>' || chr(10), '' ORDER BY turn) || '<|assistant|>' || chr(10) AS text FROM m GROUP BY conv_id")
+def template_alt(spark, d):
+    return _messages(spark, d).select("conv_id", examples.render("messages", "role", generation_prompt=True).alias("text"))
+
+
+@register("SELECT conv_id, count(*) AS n_messages FROM conversations GROUP BY conv_id")
+def messages_from_json(spark, d):
+    packed = examples.gather_messages(table(spark, d, "conversations"), "conv_id", "turn").select("conv_id", F.to_json("messages").alias("j"))
+    return packed.select("conv_id", F.size(examples.messages_of("j", True)).cast("long").alias("n_messages"))
+
+
+@register("SELECT doc_id, md5(replace(replace(replace(text, 'th', 'TH'), 'THe', '<the>'), 'e', 'é')) AS replaced FROM documents")
+def text_replace(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(X.replace_all("text", {"th": "TH", "THe": "<the>", "e": "é"})).alias("replaced"))
+
+
+@register("SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS BIGINT) AS n FROM documents")
+def placeholder_count(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.count_of("text", "the").alias("n"))
+
+
+@register("SELECT page_id, string_split(regexp_replace(url, '^https?://', ''), '/')[1] AS source, string_split(url, '/')[-2] AS category FROM pages")
+def url_source(spark, d):
+    return table(spark, d, "pages").select("page_id", X.first_part(F.regexp_replace("url", "^https?://", "")).alias("source"), X.path_category("url").alias("category"))
+
+
+@register("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def props_json(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@register("SELECT p_partkey, CAST(p_size AS BIGINT) AS num_frames, 28 * p_size AS width, 56 AS height, CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 2.5 END AS fps FROM part")
+def media_notes(spark, d):
+    listed = F.concat(F.lit('[{"num_frames":'), "p_size", F.lit(',"resolution":['), F.col("p_size") * 28, F.lit(",56]}]"))
+    named = F.concat(F.lit('[{"num_frames":'), "p_size", F.lit(',"resolution":{"width":'), F.col("p_size") * 28, F.lit(',"height":56},"fps":2.5}]'))
+    rows = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, listed).otherwise(named).alias("j"))
+    return rows.select("p_partkey", F.inline(X.media_metas("j")))
+
+
+PROMPT_SQL = "list_extract([" + ", ".join("'" + p.replace("'", "''") + "'" for p in examples.CAPTION_PROMPTS) + "], CAST(('0x' || substr(md5('clip/' || doc_id), 1, 8))::BIGINT % " + str(len(examples.CAPTION_PROMPTS)) + " AS INT) + 1)"
+
+
+@register(f"""SELECT 'clip' AS source, md5('clip/' || doc_id || ':caption') AS message_id, 'caption' AS kind, '<video>' || chr(10) || {PROMPT_SQL} || '|' || text AS said FROM documents
+UNION ALL SELECT 'clip', md5('clip/' || doc_id || ':qa'), 'qa', '<video>|' || 'Which language?|' || lang FROM documents WHERE doc_id % 2 = 0""")
+def caption_examples(spark, d):
+    pair = F.struct(F.lit("Which language?").alias("question"), F.lit(None).cast("string").alias("answer"), F.col("lang").alias("correct_answer"))
+    items = table(spark, d, "documents").select(
+        F.concat(F.lit("clip/"), "doc_id").alias("video"), F.col("text").alias("caption"), F.when(F.col("doc_id") % 2 == 0, F.array(pair)).otherwise(F.array().cast("array<struct<question:string,answer:string,correct_answer:string>>")).alias("qa_pairs"),
+        F.lit(8).alias("num_frames"), F.lit(280).alias("width"), F.lit(140).alias("height"), F.lit(1.0).alias("fps"),
+    )
+    return examples.training_examples(items, "/videos").select("source", "message_id", "kind", F.array_join("messages.content", "|").alias("said"))
+
+
+@register("""SELECT doc_id, CASE WHEN lower(CASE WHEN doc_id % 3 = 0 THEN 'Yes' ELSE lang END) IN ('yes', 'no') THEN 'Question: ' || source || chr(10) || 'Choose Yes or No.'
+ELSE 'Question: ' || source || chr(10) || 'Options: A: en' || chr(10) || 'B: de' || chr(10) || 'C: fr' || chr(10) || 'D: es' || chr(10) || 'Choose A, B, C, or D.' END AS prompt FROM documents""")
+def question_prompts(spark, d):
+    answer = F.when(F.col("doc_id") % 3 == 0, F.lit("Yes")).otherwise(F.col("lang"))
+    return table(spark, d, "documents").select("doc_id", X.question_prompt("source", answer, [F.lit(x) for x in ("en", "de", "fr", "es")]).alias("prompt"))
+
+
+@register("SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS pred FROM conversations")
+def clean_generations(spark, d):
+    raw = F.concat(F.lit("user\nhi\nassistant\n "), "text", F.lit("<|im_end|>\n</s> rest"))
+    return table(spark, d, "conversations").select("conv_id", "turn", X.clean_generation(raw).alias("pred"))
+
+
+# --- tokens, labels, packing ---
+
+IDS = "list_transform(list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''), lambda w: CAST(('0x' || substr(md5(w), 1, 8))::BIGINT % 32000 AS INT))"
+
+
+@register(f"SELECT conv_id, turn, CAST(len(l) AS BIGINT) AS n, CAST(coalesce(list_sum(l), 0) AS BIGINT) AS total FROM (SELECT conv_id, turn, {IDS.format('text')} AS l FROM conversations)")
+def tokenize(spark, d):
+    rows = packing.tokenize(table(spark, d, "conversations"), "text")
+    return rows.select("conv_id", "turn", F.size("input_ids").cast("long").alias("n"), F.aggregate("input_ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+@register(f"SELECT conv_id, turn FROM conversations WHERE len({IDS.format('text')}) <= 64")
+def long_filter(spark, d):
+    return packing.tokenize(table(spark, d, "conversations"), "text").filter(F.size("input_ids") <= 64).select("conv_id", "turn")
+
+
+BOS, EOS = [40001, 40002], [40003]
+MASKED = f"WITH t AS (SELECT conv_id, turn, role, len({IDS.format('text')}) AS n FROM conversations) "
+
+
+def _labelled(spark, d):
+    turns = packing.tokenize(table(spark, d, "conversations"), "text")
+    opens = F.when(F.col("role") == "assistant", F.array(*map(F.lit, BOS))).otherwise(F.array(F.lit(40000)))
+    turns = turns.select("conv_id", "turn", F.concat(opens, "input_ids", F.array(*map(F.lit, EOS))).alias("ids"))
+    whole = turns.groupBy("conv_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", "ids"))), lambda x: x["ids"])).alias("input_ids"))
+    return whole.withColumn("labels", X.mask_labels("input_ids", BOS, EOS))
+
+
+@register(MASKED + "SELECT conv_id, CAST(sum(n + CASE WHEN role = 'assistant' THEN 3 ELSE 2 END) AS BIGINT) AS n, CAST(sum(CASE WHEN role = 'assistant' THEN n + 1 ELSE 0 END) AS BIGINT) AS n_kept FROM t GROUP BY conv_id")
+def label_mask(spark, d):
+    return _labelled(spark, d).select("conv_id", F.size("labels").cast("long").alias("n"), F.size(F.filter("labels", lambda x: x != X.IGNORE)).cast("long").alias("n_kept"))
+
+
+@register("SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant'")
+def all_masked_drop(spark, d):
+    return _labelled(spark, d).filter(X.any_target("labels")).select("conv_id")
+
+
+@register(MASKED + "SELECT conv_id, CAST(sum(CASE WHEN role = 'assistant' THEN n + 1 ELSE 0 END) AS BIGINT) AS n FROM t GROUP BY conv_id")
+def shifted_labels(spark, d):
+    return _labelled(spark, d).select("conv_id", F.size(X.shifted_targets("labels")).cast("long").alias("n"))
+
+
+CAPACITY = 16384
+LENGTHS = f"SELECT doc_id, least(len(string_split(text, ' ')), {CAPACITY}) AS n FROM documents"
+
+
+def _lengths(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.least(F.size(F.split("text", " ", -1)), F.lit(CAPACITY)).cast("long").alias("n"))
+
+
+@register()
+def pack_ffd(spark, d):
+    return packing.pack(_lengths(spark, d), "doc_id", "n", CAPACITY, "ffd").select("bin_id", F.array_join(F.col("index_bins").cast("array<string>"), ",").alias("members"))
+
+
+@register(f"""WITH RECURSIVE l AS (SELECT doc_id, n, row_number() OVER (ORDER BY doc_id) AS i FROM ({LENGTHS})),
+r AS (SELECT i, doc_id, n AS used, CAST(0 AS BIGINT) AS bin_id FROM l WHERE i = 1 UNION ALL
+SELECT l.i, l.doc_id, CASE WHEN r.used + l.n > {CAPACITY} THEN l.n ELSE r.used + l.n END, CASE WHEN r.used + l.n > {CAPACITY} THEN r.bin_id + 1 ELSE r.bin_id END FROM r JOIN l ON l.i = r.i + 1)
+SELECT bin_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY i) AS members FROM r GROUP BY bin_id""")
+def pack_next_fit(spark, d):
+    return packing.pack(_lengths(spark, d), "doc_id", "n", CAPACITY, "next_fit").select("bin_id", F.array_join(F.col("index_bins").cast("array<string>"), ",").alias("members"))
+
+
+@register(f"WITH {PLAIN_CHAT}, l AS (SELECT conv_id, list(length(content) ORDER BY turn) AS l FROM m GROUP BY conv_id) SELECT conv_id, CAST(list_sum(l) AS BIGINT) AS total, CAST(len(l) + 1 AS BIGINT) AS n_starts, CAST(list_sum(list_transform(l, lambda x: x * (x - 1) // 2)) AS BIGINT) AS positions FROM l")
+def cu_seqlens(spark, d):
+    rows = _messages(spark, d).select("conv_id", F.transform("messages", lambda m: F.length(m["content"])).alias("l"))
+    starts, positions = X.starts_from_lengths("l"), X.position_ids("l")
+    rows = rows.select("conv_id", starts.alias("s"), positions.alias("p"))
+    same = F.transform(X.starts_from_positions("p"), lambda x: x.cast("long")) == F.col("s")
+    return rows.select("conv_id", F.when(same, F.element_at("s", -1)).alias("total"), F.size("s").cast("long").alias("n_starts"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x).alias("positions"))
+
+
+@register(f"SELECT doc_id, n, (128 - n % 128) % 128 AS pads, n + (128 - n % 128) % 128 AS padded FROM ({LENGTHS})")
+def pad128(spark, d):
+    rows = _lengths(spark, d).withColumn("pads", X.pad_length("n"))
+    ids = X.pad_right(F.array_repeat(F.lit(1), F.col("n").cast("int")), (F.col("n") + F.col("pads")).cast("int"), 0)
+    return rows.select("doc_id", "n", F.col("pads").cast("long").alias("pads"), F.size(ids).cast("long").alias("padded"))
+
+
+@register(MASKED + "SELECT CAST(sum(n + CASE WHEN role = 'assistant' THEN 3 ELSE 2 END) AS BIGINT) AS n_tokens, CAST(sum(CASE WHEN role = 'assistant' THEN n + 1 ELSE 0 END) AS BIGINT) AS n_targets FROM t")
+def collate_bins(spark, d):
+    rows = _labelled(spark, d).withColumns({"n": F.size("input_ids"), "videos": F.array(F.lit("v"))})
+    bins = packing.pack(rows.select("conv_id", "n"), "conv_id", "n", 4096)
+    out = packing.collate(packing.bin_rows(bins, rows, "conv_id"))
+    seen = lambda c, f: F.sum(F.size(F.filter(c, f))).cast("long")
+    return out.agg(seen("attention_mask", lambda x: x).alias("n_tokens"), seen("labels", lambda x: x != X.IGNORE).alias("n_targets"))
+
+
+# --- evaluation, metrics, vectors ---
+
+JUDGED = "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'Yes' ELSE l_linestatus || 'pen' END AS answer, CASE WHEN l_linenumber % 3 = 0 THEN 'yes, it is' WHEN l_linenumber % 3 = 1 THEN 'Open' ELSE 'B: fpen' END AS pred, CASE WHEN l_linestatus = 'F' THEN 'B' ELSE 'A' END AS correct_option FROM lineitem"
+
+
+def _judged(spark, d):
+    status, line = F.col("l_linestatus"), F.col("l_linenumber")
+    return table(spark, d, "lineitem").select(
+        F.when(F.col("l_returnflag") == "R", "Yes").otherwise(F.concat(status, F.lit("pen"))).alias("answer"),
+        F.when(line % 3 == 0, "yes, it is").when(line % 3 == 1, "Open").otherwise("B: fpen").alias("pred"), F.when(status == "F", "B").otherwise("A").alias("correct_option"), (line % 3).alias("gpt_score"),
+    )
+
+
+@register(f"SELECT round(coalesce(avg(CASE WHEN CASE WHEN lower(answer) IN ('yes', 'no') THEN starts_with(lower(pred), lower(answer)) ELSE starts_with(pred, correct_option) OR starts_with(lower(pred), lower(answer)) END THEN 1.0 ELSE 0.0 END), 0), 9) AS accuracy, count(*) AS n FROM ({JUDGED})")
+def eval_accuracy(spark, d):
+    return evaluate.accuracy(_judged(spark, d)).select(F.round("accuracy", 9).alias("accuracy"), "n")
+
+
+@register("SELECT round(avg(l_linenumber % 3) * 100, 6) AS score, count(*) AS n FROM lineitem WHERE l_linenumber % 3 IN (0, 1)")
+def judge_mean(spark, d):
+    return evaluate.judge_mean(_judged(spark, d)).select(F.round("score", 6).alias("score"), "n")
+
+
+@register("WITH b AS (SELECT min(n_chars) AS lo, max(n_chars) AS hi FROM documents) SELECT CAST(least(floor(CAST(n_chars - lo AS DOUBLE) * 50 / (hi - lo)) + 1, 50) AS INT) AS bucket, count(*) AS n FROM documents, b GROUP BY 1")
+def histogram50(spark, d):
+    return evaluate.histogram(table(spark, d, "documents"), "n_chars", 50)
+
+
+@register("SELECT CASE WHEN user_id % 2 = 0 THEN 'train' ELSE 'eval' END AS phase, event_type AS key, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def mean_metrics(spark, d):
+    log = table(spark, d, "events").select(F.when(F.col("user_id") % 2 == 0, "train").otherwise("eval").alias("phase"), F.col("event_type").alias("key"), "value")
+    return evaluate.mean_metrics(log).select("phase", "key", F.round("mean", 6).alias("mean"))
+
+
+@register("SELECT round(avg(m), 6) AS mean_of_means, count(*) AS n_groups FROM (SELECT avg(value) AS m FROM events GROUP BY user_id)")
+def mean_of_means(spark, d):
+    return evaluate.mean_of_means(table(spark, d, "events"), "user_id", "value").select(F.round("mean_of_means", 6).alias("mean_of_means"), "n_groups")
+
+
+@register("WITH t AS (SELECT user_id, max(value) AS top FROM events GROUP BY user_id) SELECT user_id, round(any_value(top) + ln(sum(exp(value - top))), 6) AS lse FROM events JOIN t USING (user_id) GROUP BY user_id")
+def log_sum_exp(spark, d):
+    return evaluate.log_sum_exp(table(spark, d, "events"), ["user_id"], "value").select("user_id", F.round("lse", 6).alias("lse"))
+
+
+PAIRS = "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE) / {t})) AS e FROM embeddings), s AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM v), k AS (SELECT a.vec_id, a.p, b.p AS q FROM s a JOIN s b ON b.vec_id = a.vec_id + 1) "
+
+
+def _pairs(spark, d, temperature):
+    p = table(spark, d, "embeddings").select("vec_id", X.softmax(F.transform("embedding", lambda x: x.cast("double")), temperature).alias("p"))
+    return p.join(p.select((F.col("vec_id") - 1).alias("vec_id"), F.col("p").alias("q")), "vec_id")
+
+
+@register(PAIRS.format(t="0.5") + "SELECT vec_id, round(1 - list_sum(list_transform(range(1, len(p) + 1), lambda i: abs(p[i] - q[i]))) / 2, 6) AS rate FROM k")
+def acceptance_rate(spark, d):
+    return _pairs(spark, d, 0.5).select("vec_id", F.round(X.acceptance_rate("p", "q"), 6).alias("rate"))
+
+
+@register(PAIRS.format(t="1.0") + ", l AS (SELECT vec_id, list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i] * ln(p[i] / q[i]))) AS kl FROM k) SELECT vec_id, round(kl, 6) AS kl, round(0.7 * 2 + 0.3 * kl, 6) AS loss FROM l")
+def kl_loss(spark, d):
+    rows = _pairs(spark, d, 1.0).withColumn("kl", X.kl_divergence("p", "q"))
+    return rows.select("vec_id", F.round("kl", 6).alias("kl"), F.round(X.mixed_loss(F.lit(2.0), "kl", 0.3), 6).alias("loss"))
+
+
+@register("SELECT vec_id, round(list_sum(list_transform(embedding[9:16] || embedding[49:56], lambda x: CAST(x AS DOUBLE))), 6) AS total, CAST(16 AS BIGINT) AS n FROM embeddings")
+def zigzag_split(spark, d):
+    part = X.zigzag("embedding", 1, 4)
+    return table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(part, F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"), F.size(part).cast("long").alias("n"))
+
+
+@register("SELECT vec_id, round(1 / (1 + exp(CAST(embedding[1] AS DOUBLE) - CAST(embedding[2] AS DOUBLE))), 9) AS p FROM embeddings")
+def softmax_score(spark, d):
+    e = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    return table(spark, d, "embeddings").select("vec_id", F.round(X.softmax_second(e(0), e(1)), 9).alias("p"))
+
+
+# --- annotation ---
+
+
+@register("SELECT doc_id, lower(text) LIKE '%ing%' AS is_biomedical, array_to_string(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''), ' ') AS cleaned_caption FROM documents")
+def annotate_captions(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("caption"))
+    rows = annotate.annotate(rows, annotate.keyword_relevance(("ing",)))
+    return annotate.annotate(rows, annotate.whitespace_cleaner()).select("doc_id", "is_biomedical", "cleaned_caption")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
