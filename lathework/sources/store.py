@@ -38,7 +38,7 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.mp4") -> DataFrame:
-    """category, video_id, path of files below a folder; contents aren't read (O-S1, O-S2)."""
+    """category, video_id, path of files below a folder that aren't empty; contents aren't read (O-S1, O-S2)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path", "length")
     return files.select(X.path_category("path").alias("category"), X.path_id("path", first_dot=not pattern.endswith(".mp4")).alias("video_id"), "path", "length")
 
