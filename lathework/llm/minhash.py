@@ -5,8 +5,8 @@ value flips one bit of a small bitmap) lets the population count of an XOR estim
 drops poor candidates; what is left is confirmed on the full shingle sets.
 
 Hot groups: exact copies fall together by set digest first. A bucket never emits all its pairs: its members are compared
-with one hub, and only buckets whose members are then still in several components (`open` buckets) are compared pair by
-pair across components, in blocks. No member, bucket or candidate is capped.
+with one hub, and only where the members of a hub's buckets are then still in several components (an open hub) are they
+compared pair by pair across components, in blocks. No member, bucket or candidate is capped.
 
 Edge cases: a null or blank text has no shingle, links with nothing and is its own component; a text shorter than the
 shingle is one shingle; rows with a null doc_id are kept, unlinked, with a null component_id and kept = true; repeated
@@ -41,8 +41,8 @@ class MinHashConfig:
     #: Candidates whose sketch estimate is under percent/100 less this go unconfirmed: about five standard errors of the estimate.
     slack: float = 0.22
     seed: int = 20240607
-    #: Side of the blocks in which members of an open bucket are compared.
-    block: int = 256
+    #: Side of the blocks in which documents under an open hub are compared.
+    block: int = 1024
 
 
 def _constants(cfg: MinHashConfig) -> tuple[np.ndarray, np.ndarray]:
@@ -179,10 +179,9 @@ def _sets(texts: DataFrame, cfg: MinHashConfig) -> DataFrame:
 
 
 def _cross_pairs(members: DataFrame, cfg: MinHashConfig) -> DataFrame:
-    """Pairs of members of one open bucket that are in different components and look alike.
+    """Pairs of documents under one open hub that are in different components and look alike.
 
-    members: key, n, rep, component, bands, sketch, hashes. A bucket is cut into blocks by a hash and a task holds two of
-    them. A pair that meets in several buckets is looked at in that of its first common band only.
+    members: hub, n, rep, component, sketch, hashes. What is under a hub is cut into blocks by a hash; a task holds two.
     """
     floor, near = cfg.percent / 100.0 - cfg.slack, cfg.percent / 100.0 - 0.005
     cells = members.withColumn("cut", F.ceil(F.col("n") / cfg.block).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int"))
@@ -192,8 +191,8 @@ def _cross_pairs(members: DataFrame, cfg: MinHashConfig) -> DataFrame:
         import pandas as pd
 
         m, k = cfg.sketch_bits, cfg.bands * cfg.rows
-        ids, comp, own, key = (pdf[c].to_numpy() for c in ("rep", "component", "own", "key"))
-        bits, bands = np.stack(pdf["sketch"].to_numpy()).view(np.uint64), np.stack(pdf["bands"].to_numpy())
+        ids, comp, own = (pdf[c].to_numpy() for c in ("rep", "component", "own"))
+        bits = np.stack(pdf["sketch"].to_numpy()).view(np.uint64)
         sets = [np.frombuffer(x, np.uint32) for x in pdf["hashes"]]
         n = np.array([len(x) for x in sets])
         lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
@@ -202,7 +201,6 @@ def _cross_pairs(members: DataFrame, cfg: MinHashConfig) -> DataFrame:
         for i in left:
             j = right[(comp[right] != comp[i]) & (ids[right] > ids[i])] if lo == hi else right[comp[right] != comp[i]]
             j = j[np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * cfg.percent]
-            j = j[bands[i][(bands[j] == bands[i]).argmax(axis=1)] == key[i]]
             odd = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
             j = j[1 + np.log(np.maximum(1 - odd * (2.0 / m), 1e-9)) * (m / (4.0 * k)) >= floor]
             if not len(j):
@@ -215,8 +213,8 @@ def _cross_pairs(members: DataFrame, cfg: MinHashConfig) -> DataFrame:
         pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
         return pd.DataFrame(pairs, columns=["a", "b"])
 
-    cells = cells.select("key", "lo", "hi", "own", "rep", "component", "bands", "sketch", "hashes")
-    return cells.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+    cells = cells.select("hub", "lo", "hi", "own", "rep", "component", "sketch", "hashes")
+    return cells.groupBy("hub", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -232,13 +230,15 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), doc_i
     links = _linked(likely, plain, cfg)
     comps = connected_components(links)
 
-    wide = keyed.join(hubs.filter("n > 2"), "key").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "n", "rep", F.coalesce("component", "rep").alias("component"))
-    wide = write_table(wide, "minhash-wide")
-    still = write_table(wide.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("key"), "minhash-open")
+    # Buckets with one hub are looked at together: a document is in many buckets but under few hubs.
+    wide = keyed.join(hubs.filter("n > 2"), "key").select("hub", "rep").distinct().join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    wide = write_table(wide.select("hub", "rep", F.coalesce("component", "rep").alias("component")), "minhash-wide")
+    still = wide.groupBy("hub").agg(F.count("*").alias("n"), F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q")
+    still = write_table(still.select("hub", "n"), "minhash-open")
     if still.limit(1).count():
-        members = write_table(wide.join(still, "key", "left_semi"), "minhash-members")
+        members = write_table(wide.join(still, "hub"), "minhash-members")
         texts = plain.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        members = members.join(reps.select("rep", "bands", "sketch"), "rep").join(_sets(texts, cfg), "rep")
+        members = members.join(reps.select("rep", "sketch"), "rep").join(_sets(texts, cfg), "rep")
         more = write_table(_cross_pairs(members, cfg).join(tried, ["a", "b"], "left_anti"), "minhash-cross")
         if more.limit(1).count():
             links = links.unionByName(_linked(more, plain, cfg))
