@@ -18,6 +18,7 @@ like others and teach nothing; an empty table gives an empty result; extra colum
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -121,11 +122,13 @@ def train(labelled: DataFrame, cfg: LangConfig = LangConfig()) -> LangModel:
             tags = batch.column("number").to_numpy()
             for start, texts in _runs(batch.column("text").to_pylist()):
                 for h, counts in grams(texts, cfg.sizes):
-                    own = np.repeat(np.arange(len(texts)), counts)
-                    both = np.unique(np.stack([own.astype(np.int64), h.view(np.int64)], axis=1), axis=0) if len(h) else np.empty((0, 2), np.int64)
-                    # Documents of a slice are counted here already.
-                    tagged, n = np.unique(np.stack([tags[start + both[:, 0]].astype(np.int64), both[:, 1]], axis=1), axis=0, return_counts=True) if len(both) else (both, np.empty(0, np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(tagged[:, 0]), pa.array(tagged[:, 1]), pa.array(n.astype(np.int64))], names=["number", "gram", "n"])
+                    ends = np.r_[0, np.cumsum(counts)]
+                    own = defaultdict(list)
+                    for i, tag in enumerate(tags[start : start + len(texts)].tolist()):
+                        own[tag].append(np.unique(h[ends[i] : ends[i + 1]]))
+                    for tag, found in own.items():  # documents of a slice are counted here already
+                        gram, n = np.unique(np.concatenate(found), return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), tag, np.int64)), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["number", "gram", "n"])
 
     counted = sample.select(number.alias("number"), "text").mapInArrow(run, "number long, gram long, n long").groupBy("number", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= cfg.least_docs)
     counted = write_table(counted, "langid-grams")
