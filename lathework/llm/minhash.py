@@ -226,7 +226,9 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), doc_i
     hubs = write_table(keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "minhash-hubs")
     tried = write_table(keyed.join(hubs, "key").filter("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-tried")
     likely = write_table(_likely(tried, reps, cfg), "minhash-likely")
+    # All texts are dealt out once, to those that share a bucket; later steps narrow this table.
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    plain = _narrowed(plain, _ends(tried), "minhash-bucketed")
     links = _linked(likely, plain, cfg)
     comps = connected_components(links)
 
@@ -237,7 +239,7 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), doc_i
     still = write_table(still.select("hub", "n"), "minhash-open")
     if still.limit(1).count():
         members = write_table(wide.join(still, "hub"), "minhash-members")
-        texts = plain.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        texts = _narrowed(plain, members.select(F.col("rep").alias("doc_id")).distinct(), "minhash-under").dropDuplicates(["doc_id"])
         members = members.join(reps.select("rep", "sketch"), "rep").join(_sets(texts, cfg), "rep")
         more = write_table(_cross_pairs(members, cfg).join(tried, ["a", "b"], "left_anti"), "minhash-cross")
         if more.limit(1).count():
@@ -251,8 +253,15 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), doc_i
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _linked(pairs: DataFrame, plain: DataFrame, cfg: MinHashConfig) -> DataFrame:
+def _narrowed(texts: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of texts whose doc_id is among ids (distinct). The ids are hashed partition by partition at every size, so no text is sorted."""
+    return write_table(texts.join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), name)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, cfg: MinHashConfig) -> DataFrame:
     """Confirmed pairs, reading the texts of the documents concerned only."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = write_table(plain.join(ids, "doc_id", "left_semi"), "minhash-texts")
-    return write_table(_confirmed(pairs, texts, cfg), "minhash-links")
+    return write_table(_confirmed(pairs, _narrowed(texts, _ends(pairs), "minhash-texts"), cfg), "minhash-links")
