@@ -28,7 +28,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id (five-word shingles, 0.8)."""
     found = near_duplicates(docs, MinHashConfig(shingle=5, percent=80))
     gone = write_table(found.filter("not kept").select("doc_id").distinct(), "pipeline-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # The ids outgrow a broadcast with the corpus, so they are hashed partition by partition at every size.
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
