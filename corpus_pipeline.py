@@ -33,8 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long lines that an earlier document has go from the text; n_chars follows. No document goes."""
-    clean = line_dedup.line_dedup(docs)
+    """Lines of any length and passages of 50 words that stand earlier go from the text; n_chars follows. No document goes."""
+    clean = line_dedup.line_dedup(docs, line_dedup.WHOLE)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -3,7 +3,11 @@
 Units (lines, or paragraphs between blank lines) are normalised (A-Z lowered, white space squeezed), hashed to 128 bits and
 grouped over the whole corpus. Of equal units the one with the earliest rank (doc_id, then place in the text) stays, the
 others are removed, and the spans removed from the original text are kept beside the new one. Units under `min_words` words
-stay: headings, notices and other short lines recur by right.
+stay; `WHOLE` has no such floor.
+
+With `passage_words` also passages go, wherever their lines break: each run of so many words (lowered, split at white space)
+that stands earlier in the corpus, or earlier in the text without an overlap. Only windows of words whose least half-window
+hash is repeated can be repeated themselves, so these alone are hashed (128 bits) and grouped; none is lost by that.
 
 The earliest occurrence of a digest is a minimum that is combined before the shuffle, and the join that tells all other
 occurrences can be split by adaptive execution, so a line that stands in a third of all documents is no hot spot.
@@ -19,12 +23,18 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from lathework.llm.common import UPPER_AZ, write_table
+from lathework.llm.common import UPPER_AZ, mix64, slices, write_table
+
+U = np.uint64
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Odd factors of the rolling hashes: half-windows, windows, windows once more.
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 @dataclass(frozen=True)
@@ -32,12 +42,17 @@ class LineConfig:
     min_words: int = 20
     #: "line" or "paragraph".
     unit: str = "line"
+    #: Words of the shortest repeated passage that goes wherever its lines break; 0: whole units only.
+    passage_words: int = 0
 
     @property
     def breaks(self) -> str:
         return {"line": r"\n", "paragraph": r"\n[\x20\x09-\x0D]*\n"}[self.unit]
 
 
+#: Every unit whatever its length, and passages.
+WHOLE = LineConfig(min_words=1, passage_words=50)
+
 SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
 
 
@@ -45,20 +60,136 @@ def normalised(unit: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(unit, UPPER_AZ, UPPER_AZ.lower()), r"[\x20\x09-\x0D]+", " "))
 
 
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of all words of lower-cased texts, and where each text's words begin (and the last end)."""
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
+    stops = np.flatnonzero(space & np.r_[False, ~space[:-1]])
+    if not len(starts):
+        return np.empty(0, U), np.zeros(len(texts) + 1, np.int64)
+    at = np.arange(len(data)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(data)]))
+    weights = mix64(np.arange(1, int(at.max()) + 2, dtype=U)) | U(1)
+    letters = mix64(np.arange(1, 257, dtype=U) * U(FACTORS[0]))
+    sums = np.r_[U(0), np.cumsum(letters[data] * weights[at])]
+    return mix64(sums[stops] - sums[starts] + (stops - starts).astype(U)), np.searchsorted(starts, np.r_[0, ends])
+
+
+def rolled(words: np.ndarray, k: int, factor: int) -> np.ndarray:
+    """The hash of every k consecutive words."""
+    n = len(words) - k + 1
+    if n < 1:
+        return np.empty(0, U)
+    powers = np.cumprod(np.r_[U(1), np.full(len(words) - 1, factor, U)])
+    back = np.cumprod(np.r_[U(1), np.full(n - 1, pow(factor, -1, 1 << 64), U)])
+    sums = np.r_[U(0), np.cumsum(words * powers)]
+    return mix64((sums[k:] - sums[:-k]) * back)
+
+
+def least(x: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of every `width` consecutive values."""
+    size = 1
+    while 2 * size <= width and len(x):
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    rest = width - size
+    return np.minimum(x[:-rest], x[rest:]) if rest and len(x) else x
+
+
+def _repeated(docs: DataFrame, k: int) -> DataFrame:
+    """__doc, __mark, __starts: the first words of all windows of k words that stand earlier. docs: doc, mark, text."""
+    half = k // 2
+    key = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[:2])
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, run in slices(batch.column(2).to_pylist()):
+                words, firsts = word_hashes(run)
+                grams = rolled(words, half, FACTORS[0])
+                low = least(grams, k - half + 1)
+                owner, found = [np.empty(0, np.int64)], [np.empty(0, U)]
+                for i, (a, b) in enumerate(zip(firsts[:-1].tolist(), firsts[1:].tolist())):
+                    if b - a >= k:
+                        own, every = np.unique(low[a : b - k + 1]), np.sort(grams[a : b - half + 1])
+                        times = np.searchsorted(every, own, "right") - np.searchsorted(every, own)
+                        found.append(np.repeat(own, np.minimum(times, 2)))  # twice tells a repeat
+                        owner.append(np.full(len(found[-1]), start + i))
+                at = pa.array(np.concatenate(owner))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(found).view(np.int64))], names=["doc", "mark", "h"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hot = batch.column(3)
+            for start, run in slices(batch.column(2).to_pylist()):
+                words, firsts = word_hashes(run)
+                low = least(rolled(words, half, FACTORS[0]), k - half + 1)
+                owner, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for i, (a, b) in enumerate(zip(firsts[:-1].tolist(), firsts[1:].tolist())):
+                    if b - a >= k:
+                        places.append(a + np.flatnonzero(np.isin(low[a : b - k + 1], np.array(hot[start + i].as_py(), np.int64).view(U))))
+                        owner.append(np.full(len(places[-1]), i))
+                owner, places = np.concatenate(owner), np.concatenate(places)
+                d1, d2 = rolled(words, k, FACTORS[1]), rolled(mix64(words ^ U(FACTORS[2])), k, FACTORS[2])
+                at = pa.array(owner + start)
+                hashes = [pa.array(d[places].view(np.int64)) for d in (d1, d2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(places - firsts[owner]), *hashes], names=["doc", "mark", "at", "d1", "d2"])
+
+    grams = write_table(docs.mapInArrow(anchors, f"{key}, h long"), "line-anchors")
+    shared = write_table(grams.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "line-shared")
+    hot = grams.join(shared, "h").groupBy(F.col("doc").alias("hot_doc"), F.col("mark").alias("hot_mark")).agg(F.collect_set("h").alias("hot"))
+    # The arrays are hashed partition by partition at every size, so no text is sorted.
+    held = docs.join(hot.hint("shuffle_hash"), F.col("doc").eqNullSafe(F.col("hot_doc")) & (F.col("mark") == F.col("hot_mark"))).select("doc", "mark", "text", "hot")
+    found = write_table(held.mapInArrow(windows, f"{key}, at long, d1 long, d2 long"), "line-windows")
+    return _later(found, "line-passages", k).select("__doc", "__mark", F.col("__gone").alias("__starts"))
+
+
+def _later(units: DataFrame, name: str, apart: int) -> DataFrame:
+    """__doc, __mark, __gone: the places (at) of all units but the earliest of each digest; in one text those `apart` from it at least."""
+    rank = F.struct(F.col("doc").isNull().alias("unknown"), "doc", "mark", "at")
+    firsts = units.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    firsts = write_table(firsts.select("d1", "d2", "first"), name)
+    same = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("mark") == F.col("first.mark")) & (F.col("at") < F.col("first.at") + apart)
+    gone = units.join(firsts, ["d1", "d2"]).filter(~same)
+    return gone.groupBy(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).agg(F.collect_set("at").alias("__gone"))
+
+
+def passages(value: str, starts: list[int], k: int) -> list[tuple[int, int]]:
+    """Spans of the words under windows of k words: with the blanks behind, and with the line break where whole lines go."""
+    places, spans = [m.span() for m in WORD.finditer(value)], []
+    for s in sorted(starts):
+        if spans and s <= spans[-1][1]:
+            spans[-1][1] = s + k
+        else:
+            spans.append([s, s + k])
+    out = []
+    for a, b in spans:
+        start, end = places[a][0], places[b - 1][1]
+        while end < len(value) and value[end] in " \t":
+            end += 1
+        if end < len(value) and value[end] == "\n" and (start == 0 or value[start - 1] == "\n"):
+            end += 1
+        out.append((start, end))
+    return out
+
+
 def line_dedup(docs: DataFrame, cfg: LineConfig = LineConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns of docs with repeated units taken out of the text, and removed_spans (code points of the original text)."""
     mark = F.xxhash64(F.col(text))
     units = docs.select(F.col(doc_id).alias("doc"), mark.alias("mark"), F.posexplode(F.split(F.col(text), cfg.breaks)).alias("at", "unit"))
     units = units.withColumn("unit", normalised(F.col("unit"))).filter((F.size(F.split("unit", " ")) >= cfg.min_words) & (F.col("unit") != ""))
     units = write_table(units.select("doc", "mark", "at", F.xxhash64("unit").alias("d1"), F.xxhash64(F.lit("second"), "unit").alias("d2")), "line-units")
-    rank = F.struct(F.col("doc").isNull().alias("unknown"), "doc", "mark", "at")
-    firsts = units.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    firsts = write_table(firsts.select("d1", "d2", "first"), "line-firsts")
-    gone = units.join(firsts, ["d1", "d2"]).filter(~((F.col("doc").eqNullSafe(F.col("first.doc"))) & (F.col("mark") == F.col("first.mark")) & (F.col("at") == F.col("first.at"))))
-    gone = gone.groupBy(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).agg(F.collect_set("at").alias("__gone"))
+    gone = _later(units, "line-firsts", 1)
+    if cfg.passage_words:
+        texts = docs.select(F.col(doc_id).alias("doc"), mark.alias("mark"), F.col(text).cast("string").alias("text"))
+        runs = _repeated(texts, cfg.passage_words).withColumnsRenamed({"__doc": "__doc2", "__mark": "__mark2"})
+        gone = gone.join(runs, F.col("__doc").eqNullSafe(F.col("__doc2")) & (F.col("__mark") == F.col("__mark2")), "full")
+        gone = gone.select(F.coalesce("__doc", "__doc2").alias("__doc"), F.coalesce("__mark", "__mark2").alias("__mark"), "__gone", "__starts")
+    else:
+        gone = gone.withColumn("__starts", F.lit(None).cast("array<long>"))
 
     plain = docs.drop("removed_spans")
-    rows = plain.join(gone, F.col(doc_id).eqNullSafe(F.col("__doc")) & (mark == F.col("__mark")), "left").select(*(plain[c] for c in plain.columns), F.col("__gone"))
+    rows = plain.join(gone, F.col(doc_id).eqNullSafe(F.col("__doc")) & (mark == F.col("__mark")), "left").select(*(plain[c] for c in plain.columns), F.col("__gone"), F.col("__starts"))
     names = plain.columns
     which = names.index(text)
 
@@ -66,19 +197,32 @@ def line_dedup(docs: DataFrame, cfg: LineConfig = LineConfig(), doc_id: str = "d
         breaks = re.compile(cfg.breaks)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            *own, gone_ = batch.columns
+            *own, gone_, starts_ = batch.columns
             texts, spans = [], []
-            for value, numbers in zip(own[which].to_pylist(), gone_.to_pylist()):
-                if numbers is None:
+            for value, numbers, starts in zip(own[which].to_pylist(), gone_.to_pylist(), starts_.to_pylist()):
+                if numbers is None and starts is None:
                     texts.append(value)
                     spans.append([])
                     continue
-                kept, removed, at, out = set(numbers), [], 0, []
+                kept, removed, at, out = set(numbers or ()), [], 0, []
+                cuts, cut_at = passages(value, starts, cfg.passage_words) if starts else [], 0
                 ends = [*(m.span() for m in breaks.finditer(value)), (len(value), len(value))]
                 for i, (stop, after) in enumerate(ends):
                     if i in kept:
                         removed.append({"start": at, "end": after})
                     else:
+                        while cut_at < len(cuts) and cuts[cut_at][1] <= at:
+                            cut_at += 1
+                        for a, b in cuts[cut_at:]:
+                            if a >= after:
+                                break
+                            a, b = max(a, at), min(b, after)
+                            out.append(value[at:a])
+                            if removed and removed[-1]["end"] == a and (i - 1) not in kept:  # one passage over several units
+                                removed[-1]["end"] = b
+                            else:
+                                removed.append({"start": a, "end": b})
+                            at = b
                         out.append(value[at:after])
                     at = after
                 if ends and len(ends) - 1 in kept and out:  # the last unit went: so does the break before it

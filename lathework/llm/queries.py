@@ -41,7 +41,7 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.summary(line_dedup.line_dedup(table(spark, sf_dir, "documents")))
+    return line_dedup.summary(line_dedup.line_dedup(table(spark, sf_dir, "documents"), line_dedup.WHOLE))
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

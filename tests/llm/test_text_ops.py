@@ -8,10 +8,12 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from lathework.llm import bpe, decontam, langid, license_scan, line_dedup
 from lathework.llm.components import connected_components
 from lathework.llm.minhash import MinHashConfig, near_duplicates
-from lathework.llm.queries import tokenizer_path
+from lathework.llm.queries import op5_line_dedup, tokenizer_path
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -140,6 +142,57 @@ def test_lines(spark):
     assert line_dedup.line_dedup(docs(spark, [])).count() == 0
 
 
+def brute_lines(texts, k=50):
+    """The words (by number) that go from each text: of lines and of windows of k words that stand earlier."""
+    lines, windows, out = set(), {}, []
+    for i, t in enumerate(texts):
+        gone, n = set(), 0
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        for line in (t or "").translate(LOWER).split("\n"):
+            own = tuple(re.findall(r"[^\x20\x09-\x0D]+", line))
+            if own and own in lines:
+                gone |= set(range(n, n + len(own)))
+            lines.add(own)
+            n += len(own)
+        for s in range(len(w) - k + 1):
+            doc, at = windows.setdefault(tuple(w[s : s + k]), (i, s))
+            if doc != i or s >= at + k:
+                gone |= set(range(s, s + k))
+        out.append(gone)
+    return out
+
+
+def test_short_lines_and_wrapped_passages_go(spark, tmp_path):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(300)] + ["Ärger", "漢字"]
+    make = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+
+    def wrap(w):
+        out = []
+        while w:
+            n = rng.randint(3, 14)
+            out.append(" ".join(w[:n]))
+            w = w[n:]
+        return "\n".join(out)
+
+    passages = [make(n) for n in (49, 50, 51, 60, 90, 140)]
+    texts = [None, "", "All rights reserved.\nOne\n\nother", "mine\nall  rights reserved. \n\none"]
+    texts += [" ".join(make(8)) + " " + " ".join(p) + " " + " ".join(make(9)) for p in passages]
+    texts += [wrap(make(rng.randint(0, 30)) + p + make(rng.randint(0, 30))) for p in passages for _ in range(3)]
+    texts += [wrap(passages[3] * 3), "ha " * 220, "Ha\n" * 7 + "ha " * 130, wrap(passages[2][1:] + passages[4][:60]).upper()]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in op5_line_dedup(spark, str(tmp_path)).collect()}
+    for i, gone in enumerate(brute_lines(texts)):
+        spans = [tuple(map(int, s.split("-"))) for s in got[i]["removed"].split(",") if s]
+        places = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[i] or "")]
+        assert {n for n, (a, b) in enumerate(places) if any(s <= a and b <= e for s, e in spans)} == gone
+        assert not any(s < b and a < e and not (s <= a and b <= e) for a, b in places for s, e in spans) and spans == sorted(spans)
+        assert (got[i]["text"] or "").split() == [texts[i][a:b] for n, (a, b) in enumerate(places) if n not in gone]
+    assert got[3]["text"] == "mine\n" and got[3]["n_removed"] == 2
+    bare = [corpus_pipeline.dedup_lines(spark, docs(spark, texts).withColumn("n_chars", F.lit(0)), "").filter(f"doc_id = {i}").first()["text"] for i in (3, 12)]
+    assert bare == [got[3]["text"], got[12]["text"]]
+
+
 def brute_hits(texts, items, k=10):
     out = []
     for t in texts:
