@@ -74,22 +74,37 @@ def next_fit(sizes: list[int], capacity: int, seed: int | None = None) -> list[l
 METHODS: dict[str, Callable] = {"ffd": first_fit_decreasing, "next_fit": next_fit}
 
 
-def pack(rows: DataFrame, index: str, length: str, capacity: int, method: str = "ffd", seed: int | None = None, groups: int | None = None) -> DataFrame:
-    """bin_id, index_bins: one row per bin. A length over the capacity, or none, fails the job."""
+def pack(rows: DataFrame, index: str, length: str, capacity: int, method: str = "ffd", seed: int | None = None, groups: int | None = None, start: str | None = None) -> DataFrame:
+    """bin_id, index_bins: one row per bin. A length over the capacity, or none, fails the job.
+
+    start: the column that tells the chunks of a row apart (see `chunks`); start_bins then holds it beside index_bins.
+    """
     if method not in METHODS:
         raise ValueError(f"no packing method {method!r}; there are {', '.join(METHODS)}")
     fit = METHODS[method]
     groups = groups or max(1, -(-rows.count() // GROUP_ROWS))
     size = F.when((F.col(length) <= capacity) & (F.col(length) >= 0), F.col(length)).otherwise(F.raise_error(F.lit(f"a length is over {capacity} or missing")).cast("long"))
-    dealt = rows.select(F.col(index).cast("long").alias("row_idx"), size.cast("long").alias("n")).withColumn("grp", F.pmod(F.xxhash64("row_idx"), F.lit(groups)).cast("int"))
+    part = F.col(start).cast("long") if start else F.lit(None).cast("long")
+    dealt = rows.select(F.col(index).cast("long").alias("row_idx"), part.alias("start"), size.cast("long").alias("n")).withColumn("grp", F.pmod(F.xxhash64("row_idx"), F.lit(groups)).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_idx")
+        pdf = pdf.sort_values(["row_idx", "start"] if start else "row_idx")
         ids, grp = pdf["row_idx"].tolist(), int(pdf["grp"].iloc[0])
         bins = fit(pdf["n"].tolist(), capacity, seed)
-        return pd.DataFrame({"bin_id": [(grp << 40) + i for i in range(len(bins))], "index_bins": [[ids[i] for i in b] for b in bins]})
+        out = pd.DataFrame({"bin_id": [(grp << 40) + i for i in range(len(bins))], "index_bins": [[ids[i] for i in b] for b in bins]})
+        if start:
+            starts = [None if pd.isna(s) else int(s) for s in pdf["start"]]
+            out["start_bins"] = [[starts[i] for i in b] for b in bins]
+        return out
+
+    return dealt.groupBy("grp").applyInPandas(run, "bin_id long, index_bins array<long>" + ", start_bins array<long>" * bool(start))
+
 
-    return dealt.groupBy("grp").applyInPandas(run, "bin_id long, index_bins array<long>")
+def chunks(rows: DataFrame, length: str, capacity: int) -> DataFrame:
+    """rows with start: one over the capacity becomes whole chunks of at most that, in order; start is null for others."""
+    starts = F.when(F.col(length) > capacity, F.sequence(F.lit(0).cast("long"), F.col(length).cast("long") - 1, F.lit(capacity).cast("long"))).otherwise(F.array(F.lit(None).cast("long")))
+    cut = rows.withColumn("start", F.explode(starts))
+    return cut.withColumn(length, F.when(F.col("start").isNull(), F.col(length)).otherwise(F.least(F.col(length) - F.col("start"), F.lit(capacity))))
 
 
 def bin_rows(bins: DataFrame, rows: DataFrame, index: str) -> DataFrame:

@@ -403,12 +403,20 @@ LENGTHS = f"SELECT doc_id, least(len(string_split(text, ' ')), {CAPACITY}) AS n
 
 
 def _lengths(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.least(F.size(F.split("text", " ", -1)), F.lit(CAPACITY)).cast("long").alias("n"))
+    """Whole lengths; LENGTHS counts no text beyond CAPACITY."""
+    return table(spark, d, "documents").select("doc_id", F.coalesce(F.size(F.split("text", " ", -1)), F.lit(0)).cast("long").alias("n"))
+
+
+def _packed(spark, d, method):
+    """members: doc_id, or doc_id:start for each chunk of a text over CAPACITY."""
+    bins = packing.pack(packing.chunks(_lengths(spark, d), "n", CAPACITY), "doc_id", "n", CAPACITY, method, start="start")
+    names = F.zip_with("index_bins", "start_bins", lambda i, s: F.concat_ws(":", i.cast("string"), s.cast("string")))
+    return bins.select("bin_id", F.array_join(names, ",").alias("members"))
 
 
 @register()
 def pack_ffd(spark, d):
-    return packing.pack(_lengths(spark, d), "doc_id", "n", CAPACITY, "ffd").select("bin_id", F.array_join(F.col("index_bins").cast("array<string>"), ",").alias("members"))
+    return _packed(spark, d, "ffd")
 
 
 @register(f"""WITH RECURSIVE l AS (SELECT doc_id, n, row_number() OVER (ORDER BY doc_id) AS i FROM ({LENGTHS})),
@@ -416,7 +424,7 @@ r AS (SELECT i, doc_id, n AS used, CAST(0 AS BIGINT) AS bin_id FROM l WHERE i =
 SELECT l.i, l.doc_id, CASE WHEN r.used + l.n > {CAPACITY} THEN l.n ELSE r.used + l.n END, CASE WHEN r.used + l.n > {CAPACITY} THEN r.bin_id + 1 ELSE r.bin_id END FROM r JOIN l ON l.i = r.i + 1)
 SELECT bin_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY i) AS members FROM r GROUP BY bin_id""")
 def pack_next_fit(spark, d):
-    return packing.pack(_lengths(spark, d), "doc_id", "n", CAPACITY, "next_fit").select("bin_id", F.array_join(F.col("index_bins").cast("array<string>"), ",").alias("members"))
+    return _packed(spark, d, "next_fit")
 
 
 @register(f"WITH {PLAIN_CHAT}, l AS (SELECT conv_id, list(length(content) ORDER BY turn) AS l FROM m GROUP BY conv_id) SELECT conv_id, CAST(list_sum(l) AS BIGINT) AS total, CAST(len(l) + 1 AS BIGINT) AS n_starts, CAST(list_sum(list_transform(l, lambda x: x * (x - 1) // 2)) AS BIGINT) AS positions FROM l")
