@@ -149,7 +149,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = Deconta
         own = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
         part = write_table(_block(rows, own, cfg), "decontam-block")
         parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy("doc_id", "seq").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches")).drop("seq")
+    return parts.groupBy("seq").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches")).drop("seq")
 
 
 def summary(found: DataFrame) -> DataFrame:
@@ -162,9 +162,9 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = DecontamConfig()) -> DataFrame:
-    """The documents without a match, all columns kept; rows that share a doc_id go together."""
-    bad = matches(docs, benchmark, cfg).filter(F.size("matches") > 0).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """The rows without a match, all columns kept; each row goes by its own matches, whatever its doc_id."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("__text"))
+    return matches(rows, benchmark, cfg, doc_id="row", text="__text").filter(F.size("matches") == 0).select("doc_id.*")
 
 
 def summary_sql(window: int = 10) -> str:

@@ -225,6 +225,14 @@ def test_decontamination(spark, block_bytes):
     assert decontam.summary(decontam.matches(docs(spark, texts), bench.limit(0))).filter("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 20])
+def test_rows_are_decontaminated_by_their_own_text(spark, block_bytes):
+    bench = spark.createDataFrame([(1, "zz zz"), (2, "yy yy yy yy"), (3, "vv ww vv ww")], "item_id long, text string")
+    rows = spark.createDataFrame([(None, "a zz zz"), (None, "b"), (7, "yy yy yy yy"), (7, "clean"), (8, None)], "doc_id long, text string").withColumn("row", F.lit(1))
+    got = decontam.decontaminated(rows, bench, decontam.DecontamConfig(block_bytes=block_bytes))
+    assert got.columns == rows.columns and sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, [(None, "b"), (7, "clean"), (8, None)]))
+
+
 def test_language(spark):
     rng = random.Random(4)
     make = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(5, 60)))
