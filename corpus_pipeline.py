@@ -16,10 +16,10 @@ from lathework.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: those whose text is null or has no letter. The prediction becomes lang."""
+    """Documents without a language go: null texts, those without a letter or any known n-gram (score 0). The prediction becomes lang."""
     model = langid.train(docs.filter(~F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False))))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("__text"))
-    found = langid.predict(rows, model, doc_id="row", text="__text").filter(F.col("lang_pred") != "und")
+    found = langid.predict(rows, model, doc_id="row", text="__text").filter((F.col("lang_pred") != "und") & (F.col("score") > 0))
     kept = found.select("doc_id.*", "lang_pred")
     return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 

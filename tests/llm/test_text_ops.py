@@ -249,3 +249,10 @@ def test_language(spark):
     assert sum(pred[i] == {k} for i, _, k in rows[:300]) >= 297
     assert {r["lang_pred"] for r in langid.language_id(frame.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.language_id(frame.limit(0)).count() == 0
+
+
+def test_texts_of_no_known_language_go(spark):
+    rows = [(i, f"the quick brown fox number {i}" if i % 2 else f"der schnelle braune Fuchs {i}", "en" if i % 2 else "de") for i in range(80)]
+    rows += [(100, "漢字仮名交", None), (101, None, "en"), (102, "12 !!", "en")]
+    kept = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert {r["doc_id"] for r in kept.collect()} == set(range(80))
