@@ -4,7 +4,8 @@ Equal vectors of a label fall together first. The vectors of a label are dealt b
 `shard_rows`; each shard gets a graph. Every vector is then searched in every shard of its label, a shard's vectors at a
 time. A search is audited as it goes: a beam that holds nothing but links is doubled, and so is one that misses the
 searched vector in its own shard; for each pair of shards, a sample of searches is compared with brute force and the beam
-is doubled for all until the recall asked for is reached. What is found is confirmed by cosine in double precision, and
+is doubled for all until the recall asked for is reached. Where a beam as wide as the shard doesn't hold all of it, that
+search is done by brute force, and vectors that no links lead to are compared with every search. What is found is confirmed by cosine in double precision, and
 components are united over the links.
 
 Bounds: a task holds two shards. Searching every shard costs n * n / shard_rows searches of a label, as the method says.
@@ -139,10 +140,23 @@ class Graph:
             now = self.beam(q, now[:1], 1, h)
         return self.beam(q, now, width, 0)
 
+    def cut_off(self) -> np.ndarray:
+        """Nodes that the lowest layer's links don't reach from the entry."""
+        reached = np.zeros(len(self.v), bool)
+        at = np.array([self.entry])
+        while len(at):
+            reached[at] = True
+            at = np.unique(self.layers[0][at])
+            at = at[at >= 0]
+            at = at[~reached[at]]
+        return np.flatnonzero(~reached)
+
     def near(self, q: np.ndarray, floor: float, width: int, own: int = -1) -> list[int]:
         """Nodes of similarity `floor` at least; the beam widens while it holds nothing else, or misses `own`."""
         while True:
             found = self.search(q, width)
+            if width >= len(self.v) and len(found) < len(self.v):
+                return np.flatnonzero(self.v @ q >= floor).tolist()
             if width >= len(self.v) or (found[-1][0] < floor and (own < 0 or any(i == own for _, i in found))):
                 return [i for s, i in found if s >= floor]
             width *= 2
@@ -170,20 +184,27 @@ def links_between(one: bytes, other: bytes, same: bool, cfg: HnswConfig) -> tupl
     exact = [set(np.flatnonzero(vb @ qa[i] >= cfg.threshold).tolist()) for i in sample]
     nearest = (graph.v @ queries[sample].T).argmax(axis=0) if len(sample) else []
     width = cfg.beam
+    cut = graph.cut_off()
+
+    def near(i: int, width: int) -> set[int]:
+        found = set(graph.near(queries[i], floor, width, i if same and i not in apart else -1))
+        return found.union(cut[graph.v[cut] @ queries[i] >= floor].tolist()) if len(cut) else found
+
+    apart = set(cut.tolist())
     while True:
         hit = total = 0
-        for i, want, top in zip(sample, exact, nearest):
-            got = set(graph.near(queries[i], floor, width, int(i) if same else -1))
+        for i, want, top in zip(sample.tolist(), exact, nearest):
+            got = near(i, width)
             hit, total = hit + len(want & got), total + len(want)
             if not want:  # without links, the beam must find the nearest vector
-                hit, total = hit + any(j == top for _, j in graph.search(queries[i], width)), total + 1
+                hit, total = hit + (top in apart or any(j == top for _, j in graph.search(queries[i], width))), total + 1
         recall = hit / total if total else 1.0
         if recall >= cfg.recall or width >= len(vb):
             break
         width *= 2
     pairs = []
     for i in range(len(a_ids)):
-        for j in graph.near(queries[i], floor, width, i if same else -1):
+        for j in near(i, width):
             if (not same or i != j) and float(qa[i] @ vb[j]) >= cfg.threshold:
                 pairs.append((min(a_ids[i], b_ids[j]), max(a_ids[i], b_ids[j])))
     return np.array(sorted(set(pairs)), np.int64).reshape(-1, 2), recall, width

@@ -114,6 +114,24 @@ def test_graph_recall():
     assert hit >= 900
 
 
+@pytest.mark.parametrize("cut", [slice(0, 300), slice(250, 256)])
+def test_links_of_a_graph_that_falls_apart(cut):
+    rng = np.random.default_rng(5)
+    v = np.repeat(rng.normal(size=(150, 8)), 2, axis=0) + rng.normal(size=(300, 8)) * 0.01
+    cfg = hnsw.HnswConfig()
+    graph = hnsw.Graph(hnsw._unit(v).astype(np.float32), 12, 48)
+    gone = np.arange(300)[cut]
+    for layer in graph.layers:  # no link leads to or from these
+        layer[np.isin(layer, gone)] = -1
+        layer[gone] = -1
+    packed = hnsw._pack(np.arange(300), v, graph)
+    other = hnsw._pack(np.arange(300, 600), v, graph)
+    unit = hnsw._unit(v)
+    near = np.argwhere(unit @ unit.T >= cfg.threshold)
+    assert hnsw.links_between(packed, packed, True, cfg)[0].tolist() == [[a, b] for a, b in near.tolist() if a < b]
+    assert hnsw.links_between(packed, other, False, cfg)[0].tolist() == [[a, b + 300] for a, b in near.tolist()]
+
+
 def test_warc_round_trip(spark):
     big, small = "<p>é</p>" * 300, "tiny"
     rows = [(1, "http://a/ 1", big), (2, "http://b", big), (3, None, small), (4, "x", small), (5, "x", None), (6, "y", ""), (7, "z", big), (7, "z", big), (None, "n", "x" * 2000), (9, "q", "x" * 2000), (10, "r", "\r\n\r\n" * 400)]
