@@ -33,8 +33,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of any length and passages of 50 words that stand earlier go from the text; n_chars follows. No document goes."""
-    clean = line_dedup.line_dedup(docs, line_dedup.WHOLE)
+    """Stretches of whole lines or sentences of 20 words at least that stand earlier go from the text; n_chars follows.
+
+    No row goes. Null and empty texts stay as they are; rows with a null or repeated doc_id are defined by the operator.
+    """
+    clean = line_dedup.line_dedup(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
