@@ -5,7 +5,9 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -13,7 +15,7 @@ import corpus_pipeline
 from lathework.llm import bpe, decontam, langid, license_scan, line_dedup
 from lathework.llm.components import connected_components
 from lathework.llm.minhash import MinHashConfig, near_duplicates
-from lathework.llm.queries import op5_line_dedup, tokenizer_path
+from lathework.llm.queries import tokenizer_path
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -132,65 +134,80 @@ def test_a_small_cache_changes_nothing(monkeypatch):
 
 def test_lines(spark):
     long = " ".join(f"word{i}" for i in range(30))
-    texts = [f"head\n{long}\ntail", None, "", f"{long.upper()} ", f"a\n{long}", "a\na", f"{long}\n{long}"]
-    got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs(spark, texts).withColumn("removed_spans", F.lit(1))).collect()}
-    assert got[0]["text"] == texts[0] and got[1]["text"] is None and got[2]["text"] == "" and got[5]["text"] == "a\na"
-    assert got[3]["text"] == "" and got[4]["text"] == "a" and got[6]["text"] == ""
-    assert [(s["start"], s["end"]) for s in got[4]["removed_spans"]] == [(2, len(texts[4]))]
-    same = spark.createDataFrame([(1, long), (1, long), (None, long)], "doc_id long, text string")
-    assert sorted(str(r["text"]) for r in line_dedup.line_dedup(same).collect()) == sorted([long, long, ""])
+    texts = [f"head\n{long}\ntail", None, "", f"{long.upper()} ", f"a\n{long}", "a\na", f"{long}\n{long}", " \n", f"  {long}\n\n  rest\n"]
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs(spark, texts).withColumn("removed_spans", F.lit(1)).withColumn("d1", F.lit("clash"))).collect()}
+    assert [got[i]["text"] for i in range(9)] == [texts[0], None, "", "", "a", "a\na", "", " \n", "rest\n"]
+    assert [(s["start"], s["end"]) for s in got[4]["removed_spans"]] == [(1, len(texts[4]))] and got[4]["d1"] == "clash"
+    same = spark.createDataFrame([(1, long), (1, long), (1, f"x\n{long}"), (None, long), (None, f"{long}\ny"), (None, "z " + long), (None, "z " + long)], "doc_id long, text string")
+    assert sorted(r["text"] for r in line_dedup.line_dedup(same).collect()) == sorted([long, long, f"x\n{long}", "", "y", "z " + long, "z " + long])
+    names = spark.createDataFrame([("10", long), ("9", long), (None, long)], "doc_id string, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(names).collect()} == {"10": long, "9": "", None: ""}
     assert line_dedup.line_dedup(docs(spark, [])).count() == 0
 
 
-def brute_lines(texts, k=50):
-    """The words (by number) that go from each text: of lines and of windows of k words that stand earlier."""
-    lines, windows, out = set(), {}, []
+def brute_units(texts, cfg):
+    """The words (by number) that go from each text, by comparing all runs of units as tuples of words."""
+    begins = {
+        "line": lambda before, gap, word: "\n" in gap,
+        "paragraph": lambda before, gap, word: gap.count("\n") > 1,
+        "sentence": lambda before, gap, word: before[-1] in ".!?" or regex.match(r"\p{Lu}", word),
+    }
+    seen, out = {}, []
     for i, t in enumerate(texts):
-        gone, n = set(), 0
-        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
-        for line in (t or "").translate(LOWER).split("\n"):
-            own = tuple(re.findall(r"[^\x20\x09-\x0D]+", line))
-            if own and own in lines:
-                gone |= set(range(n, n + len(own)))
-            lines.add(own)
-            n += len(own)
-        for s in range(len(w) - k + 1):
-            doc, at = windows.setdefault(tuple(w[s : s + k]), (i, s))
-            if doc != i or s >= at + k:
-                gone |= set(range(s, s + k))
+        places = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+        w = [t[a:b] for a, b in places]
+        runs = set()
+        for unit in cfg.units:
+            starts = [n for n in range(len(w)) if not n or begins[unit](w[n - 1], t[places[n - 1][1] : places[n][0]], w[n])]
+            stops = [*starts[1:], len(w)]
+            runs |= {(a, min(b for b in stops if b - a >= cfg.min_words)) for a in starts if len(w) - a >= cfg.min_words}
+            runs |= {(max(a for a in starts if b - a >= cfg.min_words), b) for b in stops if b >= cfg.min_words}
+        gone = set()
+        for a, b in sorted(runs):
+            doc, first = seen.setdefault(tuple(x.translate(LOWER) for x in w[a:b]), (i, b))
+            if doc != i or a >= first:
+                gone |= set(range(a, b))
         out.append(gone)
     return out
 
 
-def test_short_lines_and_wrapped_passages_go(spark, tmp_path):
-    rng = random.Random(6)
-    vocabulary = [f"w{i}" for i in range(300)] + ["Ärger", "漢字"]
-    make = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-
-    def wrap(w):
-        out = []
-        while w:
-            n = rng.randint(3, 14)
-            out.append(" ".join(w[:n]))
-            w = w[n:]
-        return "\n".join(out)
-
-    passages = [make(n) for n in (49, 50, 51, 60, 90, 140)]
-    texts = [None, "", "All rights reserved.\nOne\n\nother", "mine\nall  rights reserved. \n\none"]
-    texts += [" ".join(make(8)) + " " + " ".join(p) + " " + " ".join(make(9)) for p in passages]
-    texts += [wrap(make(rng.randint(0, 30)) + p + make(rng.randint(0, 30))) for p in passages for _ in range(3)]
-    texts += [wrap(passages[3] * 3), "ha " * 220, "Ha\n" * 7 + "ha " * 130, wrap(passages[2][1:] + passages[4][:60]).upper()]
-    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r for r in op5_line_dedup(spark, str(tmp_path)).collect()}
-    for i, gone in enumerate(brute_lines(texts)):
-        spans = [tuple(map(int, s.split("-"))) for s in got[i]["removed"].split(",") if s]
+@pytest.mark.parametrize("units", [("line", "sentence"), ("line",), ("paragraph",), ("sentence",)])
+def test_runs_of_units_match_brute_force(spark, tmp_path, units):
+    rng = random.Random(len(units[0]))
+    cfg = line_dedup.LineConfig(min_words=6, units=units)
+    vocabulary = [f"w{i}" for i in range(40)] + ["Ärger", "漢字", "Ab", "end.", "so!", "why?", "Über."]
+    gaps = [" "] * 8 + ["\n", "\n\n", "  ", " \n \t\n", "\r\n"]
+    make = lambda n: "".join(rng.choice(vocabulary) + rng.choice(gaps) for _ in range(n))
+    passages = [make(n) for n in (4, 7, 12, 30)]
+    texts = [None, "", " ", "x", "ha " * 50, "Ha\n" * 50] + ["".join(rng.choice([make(rng.randint(1, 9)), rng.choice(passages), rng.choice(passages).upper()]) for _ in range(rng.randint(0, 7))) for _ in range(60)]
+    texts += [texts[20], texts[21] + "\n" + texts[21]]
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs(spark, texts).repartition(3), cfg).collect()}
+    some = 0
+    for i, gone in enumerate(brute_units(texts, cfg)):
         places = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[i] or "")]
+        spans = [(s["start"], s["end"]) for s in got[i]["removed_spans"]]
         assert {n for n, (a, b) in enumerate(places) if any(s <= a and b <= e for s, e in spans)} == gone
-        assert not any(s < b and a < e and not (s <= a and b <= e) for a, b in places for s, e in spans) and spans == sorted(spans)
         assert (got[i]["text"] or "").split() == [texts[i][a:b] for n, (a, b) in enumerate(places) if n not in gone]
-    assert got[3]["text"] == "mine\n" and got[3]["n_removed"] == 2
-    bare = [corpus_pipeline.dedup_lines(spark, docs(spark, texts).withColumn("n_chars", F.lit(0)), "").filter(f"doc_id = {i}").first()["text"] for i in (3, 12)]
-    assert bare == [got[3]["text"], got[12]["text"]]
+        kept = [j for j in range(len(texts[i] or "")) if not any(s <= j < e for s, e in spans)]
+        assert got[i]["text"] == (texts[i] and "".join(texts[i][j] for j in kept))
+        some += len(gone)
+    assert some > 100
+    if units == line_dedup.LineConfig().units:  # the SQL says the same
+        frame = docs(spark, [t for t in texts if t])
+        frame.write.parquet(str(tmp_path / "documents.parquet"))
+        want = duckdb.sql(line_dedup.summary_sql(cfg).replace("documents", f"'{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+        assert sorted(want) == sorted(map(tuple, line_dedup.summary(line_dedup.line_dedup(frame, cfg)).collect()))
+
+
+def test_passages_inside_lines_go_in_time(spark):
+    rng = random.Random(5)
+    make = lambda n: " ".join(rng.choice("aeiou") + "".join(rng.choice("rstlnm") for _ in range(5)) for _ in range(n))
+    passage = " ".join(make(9).capitalize() + "." for _ in range(6))
+    texts = [f"{make(30)} {passage} {make(30)}" for _ in range(20)] + [passage.replace(" ", "\n", 7).replace(" ", "  ")] + [make(400_000), f"{make(200_000)} {passage} {make(200_000)}"]
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs(spark, texts)).collect()}
+    assert got[0]["text"] == texts[0] and got[21]["text"] == texts[21] and got[20]["text"] == ""
+    for i in [*range(1, 20), 22]:
+        assert got[i]["text"] == texts[i].replace(passage + " ", "") and len(got[i]["removed_spans"]) == 1
 
 
 def brute_hits(texts, items, k=10):
