@@ -81,3 +81,30 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
+
+
+def hashed_words(texts: list[bytes], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of all words (runs of the bytes marked in `letters`) of the texts, and where each text's words begin (and the last end)."""
+    data = np.frombuffer(b" ".join([*texts, b""]) or b" ", np.uint8)
+    inside = letters[data]
+    starts = np.flatnonzero(inside & np.r_[True, ~inside[:-1]])
+    stops = np.flatnonzero(~inside & np.r_[False, inside[:-1]])
+    firsts = np.searchsorted(starts, np.r_[0, np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)])
+    if not len(starts):
+        return np.empty(0, np.uint64), firsts
+    at = np.arange(len(data)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(data)]))
+    weights = mix64(np.arange(1, int(at.max()) + 2, dtype=np.uint64)) | np.uint64(1)
+    values = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    sums = np.r_[np.uint64(0), np.cumsum(values[data] * weights[at])]
+    return mix64(sums[stops] - sums[starts] + (stops - starts).astype(np.uint64)), firsts
+
+
+def rolled(words: np.ndarray, k: int, factor: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """A 64-bit fingerprint of every k consecutive words."""
+    n = len(words) - k + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(len(words) - 1, factor, np.uint64)])
+    back = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, pow(factor, -1, 1 << 64), np.uint64)])
+    sums = np.r_[np.uint64(0), np.cumsum(words * powers)]
+    return mix64((sums[k:] - sums[:-k]) * back)

@@ -1,155 +1,151 @@
 """Benchmark decontamination over suffix arrays of the training texts.
 
-The training documents are taken in shards (slices of a partition); each shard gets a word suffix array and every test
-suffix is binary-searched in it. The array is sparse without losing a match: only places that begin with a word pair that
-some test window begins with are in it, as no other place can match. Found places are extended to the longest verbatim
-match with its place in the document and in the item.
+The training documents are taken in shards (slices of a partition). A shard's words are hashed, and the places where its
+windows begin are sorted by the fingerprint of what follows: its suffix array, in the order of those fingerprints. Every test
+suffix is looked up in it by binary search; where the test has more suffixes than the shard, the shard's are looked up in
+the test's array, which is sorted alike. What is found is compared word by word and joined to the longest verbatim matches
+with their places in the document and in the item. Words are compared by 64-bit hashes.
 
 A test window is `window` consecutive words of an item; an item with fewer words, but not none, is one window itself. A
 document's word inside any occurrence of a window is hit.
 
-The test items are given to all executors in blocks of at most `block_bytes` of text, so what is broadcast is bounded
-whatever the benchmark's size; the blocks' results are merged by document.
+The test's arrays are made on the driver and given to all executors in blocks of at most `block_bytes` of text (about three
+times that as arrays), so what is broadcast is bounded whatever the benchmark's size. Each block is a pass over the texts.
 
 Edge cases: null texts have no words; empty items match nothing; items with equal texts are both reported; rows with a
-null or repeated doc_id are judged row by row (`seq` tells them apart); an empty table gives an empty result, and an empty
-benchmark leaves all documents clean; extra columns are ignored.
+null or repeated doc_id are judged row by row; an empty table gives an empty result, and an empty benchmark leaves all
+documents clean; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from lathework.llm.common import LOWER, slices, write_table
+from lathework.llm.common import Shared, hashed_words, rolled, slices, write_table
 
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+U = np.uint64
+#: Bytes of words: digits, lower-case letters, all of a non-ASCII letter.
+WORD_BYTES = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 
 
 @dataclass(frozen=True)
 class DecontamConfig:
     window: int = 10
-    block_bytes: int = 16 << 20
+    block_bytes: int = 8 << 20
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return [] if text is None else WORD.findall(text.encode("utf-8", "surrogatepass").translate(LOWER))
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of the given lengths: the run of each element, and its place in the run."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 class TestSuffixes:
-    """The windows of one block of items, as suffixes of word numbers packed four bytes a word."""
+    """The windows of one block of items, for each window length sorted by fingerprint."""
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[object, str | None]], window: int):
-        self.window = window
-        self.vocabulary: dict[bytes, int] = {}
-        self.items = []
-        for item, text in items:
-            self.items.append((item, [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]))
-        heads, alone = set(), set()
-        suffixes = defaultdict(list)
-        for i, (_, ids) in enumerate(self.items):
-            n = min(window, len(ids))
-            for j in range(len(ids) - n + 1 if n else 0):
-                suffixes[self._pack(ids[j : j + n])].append((i, j))
-                heads.add((ids[j], ids[j + 1])) if n > 1 else alone.add(ids[j])
-        self.suffixes = sorted(suffixes.items())
-        self.base = len(self.vocabulary) + 1
-        self.heads = np.array(sorted(a * self.base + b for a, b in heads), np.int64)
-        self.alone = np.array(sorted(alone), np.int64)
-
-    @staticmethod
-    def _pack(ids) -> bytes:
-        return np.asarray(ids, ">u4").tobytes()
-
-    def matches(self, docs: list[list[bytes]]) -> list[list[tuple[int, int, int, int]]]:
-        """For each document of a shard: (word, item index, word in the item, length), longest matches only."""
-        get = self.vocabulary.get
-        lengths = [len(d) for d in docs]
-        ids = np.zeros(sum(lengths) + len(docs), np.int64)  # a 0 ends each document
-        at, firsts = 0, []
-        for d, n in zip(docs, lengths):
-            ids[at : at + n] = np.fromiter((get(w, 0) for w in d), np.int64, n)
-            firsts.append(at)
-            at += n + 1
-        known = np.isin(ids[:-1] * self.base + ids[1:], self.heads) if len(self.heads) else np.zeros(len(ids) - 1, bool)
-        places = np.flatnonzero(known & (ids[:-1] > 0))
-        if len(self.alone):
-            places = np.union1d(places, np.flatnonzero(np.isin(ids, self.alone)))
-        found = [[] for _ in docs]
-        if not len(places):
-            return found
-        packed = ids.astype(">u4").tobytes()
-        width = 4 * self.window
-        keys = [packed[4 * p : 4 * p + width] for p in places.tolist()]
-        order = sorted(range(len(keys)), key=keys.__getitem__)
-        keys = [keys[i] for i in order]
-        owner = np.searchsorted(firsts, places, side="right") - 1
-        hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for suffix, sources in self.suffixes:
-            k = bisect_left(keys, suffix)
-            while k < len(keys) and keys[k].startswith(suffix):
-                p = int(places[order[k]])
-                for i, j in sources:
-                    hits[int(owner[order[k]])].append((p, i, j))
-                k += 1
-        for doc, starts in hits.items():
-            begun = set(starts)
-            for p, i, j in sorted(starts):
-                if (p - 1, i, j - 1) in begun:
-                    continue  # inside a longer match
-                item = self.items[i][1]
-                n = min(self.window, len(item))
-                while j + n < len(item) and ids[p + n] == item[j + n]:
-                    n += 1
-                found[doc].append((p - firsts[doc], i, j, n))
-        return found
-
-
-MATCHES = "array<struct<start:bigint,item_id:string,item_start:bigint,length:bigint>>"
-
-
-def _block(docs: DataFrame, items: list[tuple[str, str | None]], cfg: DecontamConfig) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    def __init__(self, items: list[tuple[str, str | None]], window: int):
+        self.names = [name for name, _ in items]
+        self.words, self.firsts = hashed_words([d for _, run in slices([text for _, text in items]) for d in run], WORD_BYTES)
+        sizes = np.diff(self.firsts)
+        lengths = np.minimum(sizes, window)
+        self.groups = []
+        for n in np.unique(lengths[lengths > 0]).tolist():
+            which = np.flatnonzero(lengths == n)
+            owner, at = _spread(sizes[which] - n + 1)
+            item, at = which[owner].astype(np.int32), at.astype(np.int32)
+            prints = rolled(self.words, n)[self.firsts[item] + at]
+            order = np.argsort(prints, kind="stable")
+            self.groups.append((n, prints[order], item[order], at[order]))
+
+    def matches(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of each text of a shard; rows (text, word, item, word in the item, length) of all longest matches, in order."""
+        words, firsts = hashed_words(texts, WORD_BYTES)
+        ends = np.repeat(firsts[1:], np.diff(firsts))
+        found = [np.empty((0, 4), np.int64)]
+        for n, prints, item, at in self.groups:
+            suffixes = np.flatnonzero(np.arange(len(words)) + n <= ends)
+            if not len(suffixes):
+                continue
+            own = rolled(words, n)[suffixes]
+            order = np.argsort(own, kind="stable")
+            suffixes, own = suffixes[order], own[order]
+            if len(prints) <= len(own):  # each test suffix in the shard's array
+                low, high = np.searchsorted(own, prints, "left"), np.searchsorted(own, prints, "right")
+                test, k = _spread(high - low)
+                place = suffixes[low[test] + k]
+            else:
+                low, high = np.searchsorted(prints, own, "left"), np.searchsorted(prints, own, "right")
+                shard, k = _spread(high - low)
+                place, test = suffixes[shard], low[shard] + k
+            same = np.ones(len(place), bool)
+            for j in range(n):
+                same &= words[place + j] == self.words[self.firsts[item[test]] + at[test] + j]
+            found.append(np.stack([place, item[test], at[test], np.full(len(test), n)], axis=1)[same].astype(np.int64))
+        rows = np.concatenate(found)
+        if len(rows):  # windows that follow one another in a text and an item are one match
+            rows = rows[np.lexsort((rows[:, 0], rows[:, 0] - rows[:, 2], rows[:, 1]))]
+            step = np.diff(rows, axis=0)
+            new = np.r_[True, (step[:, 1] != 0) | (step[:, 0] != 1) | (step[:, 2] != 1)]
+            heads = np.flatnonzero(new)
+            rows[heads, 3] += np.diff(np.r_[heads, len(rows)]) - 1
+            rows = rows[heads]
+        text = np.searchsorted(firsts, rows[:, 0], "right") - 1
+        rows = np.column_stack([text, rows[:, 0] - firsts[text], rows[:, 1:]])
+        return np.diff(firsts), rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+
+
+MATCH = StructType([StructField("start", LongType()), StructField("item_id", StringType()), StructField("item_start", LongType()), StructField("length", LongType())])
+
+
+def _block(rows: DataFrame, items: list[tuple[str, str | None]], cfg: DecontamConfig, hits_only: bool = False) -> DataFrame:
+    """The columns of rows but the last, which is the text, with n_words and matches against one block of items."""
+    shared = Shared(rows.sparkSession, TestSuffixes(items, cfg.window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test = TestSuffixes(shared.value, cfg.window)
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("item_id", pa.string()), ("item_start", pa.int64()), ("length", pa.int64())]))
+        test = shared.get()
+        names = pa.array(test.names, pa.string())
         for batch in batches:
-            *kept, texts = batch.columns
-            for start, run_ in slices(texts.to_pylist()):
-                words = [WORD.findall(t) for t in run_]
-                rows = [[{"start": p, "item_id": test.items[i][0], "item_start": j, "length": n} for p, i, j, n in found] for found in test.matches(words)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(start, len(rows)) for c in kept), pa.array([len(w) for w in words], pa.int64()), pa.array(rows, kind)], names=[*batch.schema.names[:-1], "n_words", "matches"])
+            for start, own in slices(batch.column(batch.num_columns - 1).to_pylist()):
+                sizes, found = test.matches(own)
+                structs = pa.StructArray.from_arrays([pa.array(found[:, 1]), names.take(pa.array(found[:, 2])), pa.array(found[:, 3]), pa.array(found[:, 4])], names=["start", "item_id", "item_start", "length"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(found[:, 0], np.arange(len(own) + 1)).astype(np.int32)), structs)
+                out = pa.RecordBatch.from_arrays([*(c.slice(start, len(own)) for c in batch.columns[:-1]), pa.array(sizes), lists], names=[*batch.schema.names[:-1], "n_words", "matches"])
+                yield out.take(pa.array(np.unique(found[:, 0]))) if hits_only else out
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
-    return docs.mapInArrow(run, f"{fields}, n_words long, matches {MATCHES}")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("n_words", LongType()), StructField("matches", ArrayType(MATCH))]))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = DecontamConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words and the longest verbatim matches (start, item_id, item_start, length) of every document."""
+def _blocks(benchmark: DataFrame, cfg: DecontamConfig) -> tuple[int, Callable[[int], list[tuple[str, str | None]]]]:
+    """How many blocks, and the items of block b; an item is never cut, and one block at a time is on the driver."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // cfg.block_bytes) or 1
+    n = -(-total // cfg.block_bytes) or 1
+    return n, lambda b: [tuple(r) for r in (items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else items).collect()]
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = DecontamConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_words and the longest verbatim matches (start, item_id, item_start, length) of every document."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    blocks, items = _blocks(benchmark, cfg)
     if blocks == 1:
-        return _block(rows, [tuple(r) for r in items.collect()], cfg)
-    rows = write_table(rows.select("doc_id", F.monotonically_increasing_id().alias("seq"), "text"), "decontam-rows")
-    parts = None
-    for b in range(blocks):
-        own = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
-        part = write_table(_block(rows, own, cfg), "decontam-block")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy("seq").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches")).drop("seq")
+        return _block(rows, items(0), cfg)
+    rows = write_table(rows.select(F.monotonically_increasing_id().alias("seq"), "doc_id", "text"), "decontam-rows")
+    whole = write_table(_block(rows, items(0), cfg), "decontam-block")
+    rest = None
+    for b in range(1, blocks):
+        part = write_table(_block(rows.select("seq", "text"), items(b), cfg, hits_only=True), "decontam-block").select("seq", "matches")
+        rest = part if rest is None else rest.unionByName(part)
+    rest = rest.groupBy("seq").agg(F.flatten(F.collect_list("matches")).alias("more"))
+    return whole.join(rest, "seq", "left").select("doc_id", "n_words", F.when(F.col("more").isNull(), F.col("matches")).otherwise(F.concat("matches", "more")).alias("matches"))
 
 
 def summary(found: DataFrame) -> DataFrame:
@@ -162,9 +158,14 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = DecontamConfig()) -> DataFrame:
-    """The rows without a match, all columns kept; each row goes by its own matches, whatever its doc_id."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("__text"))
-    return matches(rows, benchmark, cfg, doc_id="row", text="__text").filter(F.size("matches") == 0).select("doc_id.*")
+    """The rows without a match, all columns kept; each row goes by its own matches, whatever its doc_id. Nothing is shuffled."""
+    blocks, items = _blocks(benchmark, cfg)
+    for b in range(blocks):
+        rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("__text"))
+        docs = _block(rows, items(b), cfg).filter(F.size("matches") == 0).select("row.*")
+        if b + 1 < blocks:
+            docs = write_table(docs, "decontam-clean")
+    return docs
 
 
 def summary_sql(window: int = 10) -> str:
