@@ -10,7 +10,8 @@ revisits, which carry no payload. Which payloads repeat is found from digests al
 meets the pages.
 
 Reading: the index rows wanted are grouped by archive and `read_bytes` of it, sorted by offset; ranges closer than `gap`
-bytes are read at once, then cut into records, whose payload digests are verified.
+bytes are read at once, then cut into records, whose payload digests are verified. How many tasks read follows the bytes
+wanted, not the few bytes of the index rows.
 
 Files are opened through pyarrow's file systems by URI, so the shared folder may be local, HDFS or an object store.
 
@@ -41,6 +42,8 @@ class WarcConfig:
     archive_bytes: int = 64 << 20
     read_bytes: int = 4 << 20
     gap: int = 64 << 10
+    #: Reading tasks are no more than this, so that the scheduler holds them; beyond it a task reads several parts.
+    most_tasks: int = 100_000
     level: int = 3
     #: The date of all records, so that equal pages give equal archives.
     date: str = "2024-01-01T00:00:00Z"
@@ -62,16 +65,17 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     """One WARC record, uncompressed."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     target = "".join((url or "").split())
-    body = b"" if revisit else payload
+    reply = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    body = reply if revisit else reply + payload
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id)}", f"WARC-Date: {cfg.date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
     if revisit:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers_to)}"]
-    lines += ["Content-Type: text/html", f"Content-Length: {len(body)}"]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and payload of one uncompressed record."""
+    """Headers of one uncompressed record, and what follows the HTTP headers of its block."""
     head, _, rest = data.partition(b"\r\n\r\n")
     version, *lines = head.decode().split("\r\n")
     if not version.startswith("WARC/"):
@@ -80,7 +84,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     n = int(headers["Content-Length"])
     if len(rest) != n + 4:
         raise ValueError("a record is cut short")
-    return headers, rest[:n]
+    return headers, rest[:n].partition(b"\r\n\r\n")[2]
 
 
 def write_archives(pages: DataFrame, cfg: WarcConfig = WarcConfig()) -> DataFrame:
@@ -91,7 +95,9 @@ def write_archives(pages: DataFrame, cfg: WarcConfig = WarcConfig()) -> DataFram
     repeated = rows.filter(long_).select(F.sha1("html").alias("digest"), "page_id").groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1 and keeper is not null")
     repeated = write_table(repeated.select("digest", "keeper"), "warc-repeated")
     if repeated.limit(1).count():
-        rows = rows.withColumn("digest", F.when(long_, F.sha1("html"))).join(repeated, "digest", "left").select("page_id", "url", "html", "keeper")
+        # Short pages have keys of their own that match nothing, so they don't meet in one task.
+        own = F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))
+        rows = rows.withColumn("digest", F.when(long_, F.sha1("html")).otherwise(own)).join(repeated, "digest", "left").select("page_id", "url", "html", "keeper")
     else:
         rows = rows.withColumn("keeper", F.lit(None).cast("long"))
     folder = new_path(spark, "warc")
@@ -158,7 +164,9 @@ def read_records(index: DataFrame, cfg: WarcConfig = WarcConfig()) -> DataFrame:
         frame = pd.DataFrame(out, columns=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
         return frame.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return wanted.groupBy("archive", "part").applyInPandas(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = min(cfg.most_tasks, -(-total // cfg.read_bytes) or 1)
+    return wanted.repartition(tasks, "archive", "part").groupBy("archive", "part").applyInPandas(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
 def round_trip(pages: DataFrame, cfg: WarcConfig = WarcConfig()) -> DataFrame:

@@ -148,6 +148,9 @@ def test_warc_round_trip(spark):
         assert r["url"] == "".join((url or "").split())
     kinds = {(r["page_id"], r["record_type"], r["refers_to"]) for r in got}
     assert kinds >= {(1, "revisit", 7), (2, "revisit", 7), (7, "response", None), (3, "response", None), (4, "response", None), (9, "response", None), (5, "response", None)}
+    assert warc.read_records(index, cfg).rdd.getNumPartitions() > 3  # tasks follow the bytes
+    headers, body = warc.parse(warc.record(3, "u", b"<p>", None, False, cfg))
+    assert headers["Content-Type"] == "application/http; msgtype=response" and body == b"<p>"
     one = warc.read_records(index.filter("page_id = 10"), cfg).collect()
     assert len(one) == 1 and bytes(one[0]["payload"]) == ("\r\n\r\n" * 400).encode()
     assert warc.round_trip(frame.limit(0)).count() == 0
