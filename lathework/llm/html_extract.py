@@ -8,7 +8,8 @@ The potentials are trained here by maximum likelihood on labelled pages: `traini
 and marks each block (attribute `data-y`), and the same messages give the expected counts of the gradient.
 
 Pages are handled in batches whose trees lie in common arrays, so a message step is one array operation for a level of all
-trees. Trees are never recursed into, so any depth works.
+trees. Trees are never recursed into, so any depth works; what is nested over MOST_DEPTH deep joins the block at that depth.
+Tags are found in linear time.
 
 Edge cases: null and empty pages give an empty text; unclosed, stray and broken tags are mended as browsers mostly do; text
 outside any tag belongs to the body; rows are independent, so repeated rows, null ids and extra columns change nothing; an
@@ -20,6 +21,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 
 from lathework.llm.common import Shared
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"""(class|id|role|data-y|hidden|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 WORDS = re.compile(r"[a-z]+")
 SENTENCE = re.compile(r"[.!?,;:。！？]")
@@ -51,6 +54,65 @@ AGAINST = frozenset("ad ads advert advertisement adverts advertising banner brea
 FOR = frozenset("article articlebody blog body content copy entry hentry main page paragraph post prose story text".split())
 N_FEATURES = 1 + len(TAGS) + 1 + 4 + 5 + 5 + 4 + 3
 N_EDGES = 4
+#: Blocks nested deeper become children of the one at this depth, as in browsers.
+MOST_DEPTH = 512
+
+
+class Markup:
+    """Finds the tags of a page in linear time, however its quotes and brackets are broken.
+
+    A tag ends at the first > outside quotes or, if its quotes never close, at the first >. Where a scan that stands before
+    a quote ends depends on that quote alone, so it is kept and no part of the page is scanned again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.ends, self.last = page, {}, page.rfind(">")
+        self.quotes = {q: page.rfind(q) for q in "\"'"}
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends the tag in which `at` stands; -1 if it never ends."""
+        chain, page = [], self.page
+        while True:
+            m = STOP.search(page, at)
+            if m is None:
+                found = -1
+            elif m[0] == ">":
+                found = m.start()
+            elif m.start() in self.ends:
+                found = self.ends[m.start()]
+            elif self.quotes[m[0]] == m.start():
+                found = -1
+            else:
+                chain.append(m.start())
+                at = page.find(m[0], m.start() + 1) + 1
+                continue
+            if m is not None and m[0] != ">":
+                chain.append(m.start())
+            self.ends.update(dict.fromkeys(chain, found))
+            return found
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """The next markup from `at` on: start, end, name (empty for comments and such), whether it closes, attributes."""
+        page = self.page
+        while True:
+            a = page.find("<", at)
+            if a < 0:
+                return None
+            if page.startswith("<!--", a):
+                b = page.find("-->", a + 4)
+                return a, len(page) if b < 0 else b + 3, "", False, ""
+            if a > self.last:
+                return None
+            closes = page.startswith("/", a + 1)
+            first = page[a + 1 + closes : a + 2 + closes]
+            if first.isascii() and first.isalpha():
+                b = self.end(a + 1)
+                b = page.find(">", a) if b < 0 else b
+                name = NAME.match(page, a + 1 + closes, b)[0]
+                return a, b + 1, name, closes, page[a + 1 + closes + len(name) : b]
+            if page[a + 1 : a + 2] in ("!", "?", "/"):
+                return a, page.find(">", a) + 1, "", False, ""
+            at = a + 1
 
 
 class Batch:
@@ -79,9 +141,11 @@ class Batch:
         self.pieces.append(pieces)
         root = self.block(-1, 0, "body", (0, 0), 0)
         stack: list[tuple[str, int, bool]] = [("body", root, False)]  # tag, block, dropped
+        where: dict[str, list[int]] = defaultdict(list)  # of each tag, its places in the stack but for the root
+        scopes = [0]
         buffer: list[str] = []
         links = at = 0
-        lower = None
+        markup = Markup(page)
 
         def flush() -> None:
             text = " ".join("".join(buffer).split())
@@ -97,31 +161,35 @@ class Batch:
             nonlocal links
             if any(t not in INLINE or self.tag[b] == t for t, b, _ in stack[i:]):
                 flush()
-            links -= sum(t == "a" for t, _, _ in stack[i:])
-            del stack[i:]
-
-        for m in MARKUP.finditer(page):
-            a, b = m.span()
-            if a < at:
-                continue
+            while len(stack) > i:
+                tag = stack.pop()[0]
+                where[tag].pop()
+                links -= tag == "a"
+                if scopes[-1] == len(stack):
+                    scopes.pop()
+
+        def push(tag: str, block: int, dropped: bool) -> None:
+            where[tag].append(len(stack))
+            if tag in SCOPES:
+                scopes.append(len(stack))
+            stack.append((tag, block, dropped))
+
+        while (m := markup.next(at)) is not None:
+            a, b, name, closes, attributes = m
             if a > at and not stack[-1][2]:
                 text = html.unescape(page[at:a])
                 buffer.append(text)
                 if links:
                     self.linked[stack[-1][1]] += len(text.strip())
             at = b
-            name = m[2] or m[5]
             if not name:
                 continue
-            name, attributes = name.lower(), m[3] or m[6] or ""
-            if m[1] or m[4]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        close(i)
-                        break
-                else:
-                    if name not in INLINE:
-                        flush()
+            name = name.lower()
+            if closes:
+                if where[name]:
+                    close(where[name][-1])
+                elif name not in INLINE:
+                    flush()
                 continue
             if name in VOID:
                 if name == "br" or name == "hr":
@@ -129,14 +197,9 @@ class Batch:
                 if name not in INLINE:
                     flush()
                 continue
-            ends = ENDS_SAME.get(name, ("p",) if name in ENDS_P else ())
-            if ends:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in ends:
-                        close(i)
-                        break
-                    if stack[i][0] in SCOPES:
-                        break
+            ends = max((where[t][-1] for t in ENDS_SAME.get(name, ("p",) if name in ENDS_P else ()) if where[t]), default=0)
+            if ends and ends >= scopes[-1]:
+                close(ends)
             own = dict((k.lower(), v.strip("\"'")) for k, v in ATTRIBUTE.findall(attributes)) if attributes else {}
             words = WORDS.findall(" ".join((own.get("class", ""), own.get("id", ""), own.get("role", ""))).lower()) if own else ()
             hint = (sum(w in AGAINST for w in words), sum(w in FOR for w in words))
@@ -144,24 +207,25 @@ class Batch:
             if name == "a":
                 links += 1
             if name in INLINE and not (hint[0] and name != "a"):
-                stack.append((name, top, dropped))
+                push(name, top, dropped)
             elif name in ("html", "body"):
                 flush()
                 if name == "body":  # a head left open ends here
                     close(1)
                     self.hint[root] = hint
-                stack.append((name, root, False))
+                push(name, root, False)
             else:
                 flush()
-                block = top if dropped else self.block(top, self.depth[top] + 1, name, hint, int(own.get("data-y", self.label[top])))
-                stack.append((name, block, dropped))
+                if not dropped:
+                    over = top if self.depth[top] < MOST_DEPTH else self.parent[top]
+                    top = self.block(over, self.depth[over] + 1, name, hint, int(own.get("data-y", self.label[top])))
+                push(name, top, dropped)
             if name in RAW:
-                lower = page.lower() if lower is None else lower
-                end = lower.find("</" + name, b)
-                if end < 0:
+                end = re.compile(f"</{name}", re.I | re.A).search(page, b)
+                if end is None:
                     at = len(page)
                     break
-                at = end
+                at = end.start()
         if at < len(page) and not stack[-1][2]:
             buffer.append(html.unescape(page[at:]))
         flush()
@@ -276,7 +340,7 @@ def training_pages(n: int = 240, seed: int = 11) -> list[str]:
             kind = rng.random()
             text = prose(1, rng.choice((1, 3, 8))) if rng.random() < 0.85 else said(1, 4)
             if kind < 0.7:
-                out.append(f"<p>{rng.choice(('', '<b>'))}{text}" + rng.choice(("</p>", "</p>", "</p>", "<br>")))
+                out.append(f"<p>{rng.choice(('', '', '<em>', '<strong>', '<span>'))}{text}" + rng.choice(("</p>", "</p>", "</p>", "")))
             elif kind < 0.76:
                 out.append(f"<h2>{said(1, 5)}</h2>")
             elif kind < 0.82:
@@ -310,7 +374,7 @@ def training_pages(n: int = 240, seed: int = 11) -> list[str]:
             "share": lambda: f"<ul>{links()}</ul>", "related": lambda: f"<h3>{said(1, 3)}</h3><ul>{links()}</ul>",
             "notice": lambda: rng.choice((f"<p>{prose(1, 3)}</p><button>{word()}</button>", prose(1, 2))),
             "menu": lambda: rng.choice((f"<ul>{links()}</ul>", links("span"))), "header": lambda: rng.choice((f'<a href="/">{said(1, 2)}</a><p>{said(2, 6)}</p>', f"<h2>{said(1, 3)}</h2><ul>{links()}</ul>")),
-            "footer": lambda: rng.choice((f"&copy; {word()}.example &middot; {prose(1, 2)}", f"<p>&copy; {said(2, 8)}</p><ul>{links()}</ul>")),
+            "footer": lambda: rng.choice((f"{said(1, 3)} {rng.randint(1995, 2024)}. {prose(1, 2)}", f"<p>&copy; {said(2, 8)}</p><ul>{links()}</ul>")),
             "side": lambda: f"<h3>{said(1, 3)}</h3><ul>{links()}</ul><p>{prose(1, 2)}</p>",
             "comments": lambda: f"<h3>{said(1, 3)}</h3>" + "".join(f'<div class="{rng.choice(("comment", "reply", "c"))}"><p>{prose(1, 4)}</p></div>' for _ in range(rng.randint(1, 5))),
             "form": lambda: f"<label>{said(1, 3)}</label><input name=q><p>{said(2, 9)}</p>",
@@ -329,9 +393,13 @@ def training_pages(n: int = 240, seed: int = 11) -> list[str]:
             main = f'<div {rng.choice(("class", "id"))}="{name}" data-y="1">{body}</div>'
             main = f'<div class="{rng.choice(("wrapper", "row", "container"))}">{main}</div>' if rng.random() < 0.5 else main
         elif layout == "bare":
-            main = f'<div data-y="1">{body}<p>{prose(4, 9)}</p></div>'
+            main = f'<div data-y="1">{body}<p>{prose(*rng.choice(((2, 4), (4, 9))))}</p></div>'
         else:
-            main = f'<table><tr><td data-y="0"><ul>{links()}</ul></td><td data-y="1">{body}<p>{prose(4, 9)}</p></td></tr></table>'
+            side = rng.choice((f"<ul>{links()}</ul>", links("b"), links("div"), f"<p>{said(1, 4)}</p>"))
+            cells = [f'<td data-y="0">{side}</td>', f'<td data-y="1">{body}<p>{prose(*rng.choice(((2, 4), (4, 9))))}</p></td>']
+            rng.shuffle(cells)
+            rows = [f'<tr data-y="0"><td>{links("i", 2, 6)}</td></tr>' if rng.random() < 0.5 else "", f"<tr>{''.join(cells)}</tr>"]
+            main = f"<table>{''.join(rows)}</table>"
         style = "tag" if layout == "semantic" and rng.random() < 0.7 else "name"
         pick = lambda kind, p: boiler(kind, style) if rng.random() < p else ""  # noqa: E731, B023
         out.append(

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -32,7 +33,7 @@ def test_marginals_are_those_of_all_labelings(potentials):
     assert np.allclose(html_extract.marginals(trees, potentials)[0], total / z)
 
 
-def test_layouts_not_trained_on(potentials):
+def test_marginals_of_other_pages(potentials):
     pages = html_extract.training_pages(40, seed=77)
     batch = html_extract.Batch()
     for p in pages:
@@ -41,6 +42,44 @@ def test_layouts_not_trained_on(potentials):
     assert ((html_extract.marginals(trees, potentials)[0] >= 0.5) == trees.label).mean() > 0.98
 
 
+A = "The council met on Tuesday to discuss the bridge. Work will begin in spring, said the mayor, and end before winter."
+B = "Residents had asked for a wider path; the plan now has one. It costs two million, of which the state pays half."
+C = "A second vote is due in May. Until then, the old crossing stays open to walkers and riders."
+#: Written by hand, in manners that the training code has none of; each page's article is A, B and C.
+LAYOUTS = {
+    "portal": f"""<html lang=de><body><div id="kopfbereich" class="header"><img src=x><a href="/">Zeitung</a></div>
+        <div class="nav-main"><a href=1>Politik</a> | <a href=2>Sport</a> | <a href=3>Wetter</a> | <a href=4>Kultur</a></div>
+        <div class="spalte"><div class="article__body" itemprop="articleBody"><p class="lead">{A}</p><p>{B}</p><p>{C}</p></div></div>
+        <div class="footer-links"><a href=5>Impressum</a> <a href=6>Datenschutz</a> <a href=7>Kontakt</a></div></body></html>""",
+    "blog": f"""<!doctype html><body class="single single-post"><header role="banner"><h1 class="site-title"><a href="/">My blog</a></h1></header>
+        <main id="primary"><article id="post-17" class="hentry"><div class="entry-content"><p>{A}<p>{B}<p>{C}</div></article>
+        <section id="comments" class="comments-area"><ol><li class="comment"><p>First! What a great read, thanks a lot.</p></li><li class="comment"><p>I do not agree. The path is wide enough.</p></li></ol></section></main>
+        <aside id="secondary" class="widget-area"><section class="widget"><h2>Recent</h2><ul><li><a href=1>One post</a><li><a href=2>Two posts</a></ul></section></aside></body>""",
+    "tables": f"""<BODY><TABLE width=100%><TR><TD colspan=2><A HREF=a>Home</A> <A HREF=b>News</A> <A HREF=c>Links</A></TD></TR>
+        <TR><TD width=20%><A HREF=d>Archive</A><BR><A HREF=e>Guestbook</A><BR><A HREF=f>Webring</A></TD><TD><P>{A}<P>{B}<P>{C}</TD></TR></TABLE></BODY>""",
+    "app": f"""<body><div id="root"><div class="css-1x2y3z"><div role="navigation"><ul><li><a href=1>Feed</a></li><li><a href=2>Explore</a></li><li><a href=3>Saved</a></li></ul></div>
+        <div class="css-9q8w7e"><div class="css-0a"><p>{A}</p><p>{B}</p><p>{C}</p></div></div><div class="cookie-consent"><p>We use cookies to improve your experience.</p><button>OK</button></div></div></div></body>""",
+    "docs": f"""<body><nav class="toc"><ul><li><a href=#1>Intro</a></li><li><a href=#2>Usage</a></li></ul></nav><main role="main"><section><p>{A}</p><p>{B}</p><p>{C}</p></section></main>
+        <footer><p>Built with a static site generator.</p></footer></body>""",
+    "shop": f"""<body><div class="promo-banner">Free shipping on all orders this week!</div><div class="container"><div class="row"><div class="col-md-8"><div class="story"><p>{A}</p><p>{B}</p>
+        <div class="advert"><p>Buy a bridge today, only at our store.</p></div><p>{C}</p></div></div><div class="col-md-4 sidebar"><h3>Related</h3><a href=1>Tunnels</a><a href=2>Ferries</a></div></div></div></body>""",
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts_not_trained_on(potentials, name):
+    assert html_extract.main_texts([LAYOUTS[name]], potentials) == [" ".join((A, B, C))]
+
+
+def test_hostile_pages_take_linear_time(potentials):
+    n = 1 << 20
+    for piece in ('<a "', "<!", "<div>", "<a", "<a x=\"'", "<!--", "<script>", "<a '\">", "<", "a<b>", "<p><div><b>", "</x><div>", '<a "">' * 9 + '<a ">'):
+        began = time.time()
+        texts = html_extract.main_texts([piece * (n // len(piece)), "<p>" + A], potentials)
+        assert time.time() - began < 20 and texts[1] in ("", A)
+    assert html_extract.main_texts(["<SCRIPT>İİ</p></Script><article><p>" + A], potentials) == [A]
+
+
 def test_pages(spark, potentials):
     article = "<article><h1>Head&amp;line</h1><p><b>One&nbsp;two<br>three<p>Fo<i>ur</i>\n five &lt;tag&gt; &#233;</article>"
     rows = [
