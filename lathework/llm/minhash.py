@@ -5,8 +5,9 @@ value flips one bit of a small bitmap) lets the population count of an XOR estim
 drops poor candidates; what is left is confirmed on the full shingle sets.
 
 Hot groups: exact copies fall together by set digest first. A bucket never emits all its pairs: its members are compared
-with one hub, and only where the members of a hub's buckets are then still in several components (an open hub) are they
-compared pair by pair across components, in blocks. No member, bucket or candidate is capped.
+with one hub, and only where the members of a hub's buckets are then still in several components (an open hub) are those
+outside its largest component compared with all others across components, in blocks: a hub with n members of which r are
+outside it costs about n * r / block rows, not the square of n. No member, bucket or candidate is capped.
 
 Edge cases: a null or blank text has no shingle, links with nothing and is its own component; a text shorter than the
 shingle is one shingle; rows with a null doc_id are kept, unlinked, with a null component_id and kept = true; repeated
@@ -181,11 +182,18 @@ def _sets(texts: DataFrame, cfg: MinHashConfig) -> DataFrame:
 def _cross_pairs(members: DataFrame, cfg: MinHashConfig) -> DataFrame:
     """Pairs of documents under one open hub that are in different components and look alike.
 
-    members: hub, n, rep, component, sketch, hashes. What is under a hub is cut into blocks by a hash; a task holds two.
+    members: hub, main, n_main, n_rest, rep, component, sketch, hashes. Those outside the hub's largest component (main) are
+    compared with all others, those inside it with these only. Either part is cut into blocks by a hash; a task holds two.
     """
     floor, near = cfg.percent / 100.0 - cfg.slack, cfg.percent / 100.0 - 0.005
-    cells = members.withColumn("cut", F.ceil(F.col("n") / cfg.block).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int"))
-    cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("other")).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    inside = F.col("component") == F.col("main")
+    cuts = [F.greatest(F.ceil(F.col(c) / cfg.block), F.lit(1)).cast("int") for c in ("n_main", "n_rest")]
+    cells = members.withColumn("cut_main", cuts[0]).withColumn("cut_rest", cuts[1]).withColumn("inside", inside)
+    cells = cells.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(inside, F.col("cut_main")).otherwise(F.col("cut_rest"))).cast("int"))
+    # Blocks of the main part have numbers from cut_rest on.
+    own = F.when(F.col("inside"), F.col("own") + F.col("cut_rest")).otherwise(F.col("own"))
+    last = F.when(F.col("inside"), F.col("cut_rest")).otherwise(F.col("cut_rest") + F.col("cut_main")) - 1
+    cells = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
     def run(pdf):
         import pandas as pd
@@ -235,8 +243,9 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), doc_i
     # Buckets with one hub are looked at together: a document is in many buckets but under few hubs.
     wide = keyed.join(hubs.filter("n > 2"), "key").select("hub", "rep").distinct().join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     wide = write_table(wide.select("hub", "rep", F.coalesce("component", "rep").alias("component")), "minhash-wide")
-    still = wide.groupBy("hub").agg(F.count("*").alias("n"), F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q")
-    still = write_table(still.select("hub", "n"), "minhash-open")
+    parts = wide.groupBy("hub", "component").agg(F.count("*").alias("k"))
+    still = parts.groupBy("hub").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("n")).filter("n > top.k")
+    still = write_table(still.select("hub", F.col("top.component").alias("main"), F.col("top.k").alias("n_main"), (F.col("n") - F.col("top.k")).alias("n_rest")), "minhash-open")
     if still.limit(1).count():
         members = write_table(wide.join(still, "hub"), "minhash-members")
         texts = _narrowed(plain, members.select(F.col("rep").alias("doc_id")).distinct(), "minhash-under").dropDuplicates(["doc_id"])
