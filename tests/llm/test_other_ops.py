@@ -134,14 +134,54 @@ def test_near_vectors_match_all_pairs(spark):
     label = np.array([r[2] for r in good])
     links = (v @ v.T >= 0.98) & (label[:, None] == label[None])
     np.fill_diagonal(links, False)
-    assert sum(got[r[0]]["n_links"] for r in good) >= 0.99 * links.sum() > 0
-    assert all(got[r[0]]["n_links"] <= n for r, n in zip(good, links.sum(axis=1)))
+    component = np.arange(len(good))
+    for _ in range(len(good)):
+        least = np.minimum(component, np.where(links, component[None], len(good)).min(axis=1))
+        if (least == component).all():
+            break
+        component = least
+    assert links.sum() > 500 and len(set(component.tolist())) < len(good)
+    for k, r in enumerate(good):
+        g = got[r[0]]
+        assert (g["n_links"], g["component_id"], g["kept"]) == (links[k].sum(), good[component[k]][0], component[k] == k) and g["recall"] >= 0.99
     for r in rows:
         if r[0] is None or r[0] >= 1000:
             assert (got[r[0]]["n_links"], got[r[0]]["component_id"], got[r[0]]["kept"]) == (0, r[0], True)
     assert hnsw.embedding_near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_repeated_vector_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.0], 0), (3, [0.0, 2.0], 0), (1, [1.0, 0.0], 0), (4, [1.0, 0.0], 1), (4, [1.0, 0.0], None)]
+    got = hnsw.embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    found = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got)
+    assert [x for x in found if x[0] in (2, 4)] == [(2, 3, 1, False), (4, 0, 4, True), (4, 0, 4, True)] and all(x[2] == 1 for x in found if x[0] < 4)
+
+
+def test_a_dense_group_gives_a_forest():
+    rng = np.random.default_rng(3)
+    v = np.ones((900, 16)) + rng.normal(size=(900, 16)) * 0.03
+    v[700:] = rng.normal(size=(200, 16))
+    cfg = hnsw.HnswConfig()
+    shard = hnsw.Shard.read(hnsw._pack(np.arange(900), np.ones(900, np.int64), v, hnsw.Graph(hnsw._unit(v).astype(np.float32), 12, 48)), cfg)
+    links, audit = hnsw.links_between(shard, shard, cfg)
+    unit = hnsw._unit(v)
+    want = unit @ unit.T >= cfg.threshold
+    np.fill_diagonal(want, False)
+    assert (links == want).all() and want.sum() > 400_000 and audit.total > 0 and audit.hit >= 0.995 * audit.total
+    edges = hnsw.forest(links)
+    assert all(links[i, j] for i, j in edges) and len(edges) < 2 * 900
+    root = list(range(900))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in edges:
+        root[find(i)] = find(j)
+    assert len({find(i) for i in range(700)}) == 1
+
+
 def test_graph_recall():
     rng = np.random.default_rng(2)
     v = rng.normal(size=(1500, 24)).astype(np.float32)
@@ -163,12 +203,13 @@ def test_links_of_a_graph_that_falls_apart(cut):
     for layer in graph.layers:  # no link leads to or from these
         layer[np.isin(layer, gone)] = -1
         layer[gone] = -1
-    packed = hnsw._pack(np.arange(300), v, graph)
-    other = hnsw._pack(np.arange(300, 600), v, graph)
+    read = lambda ids: hnsw.Shard.read(hnsw._pack(ids, np.ones(300, np.int64), v, graph), cfg)
+    shard, other = read(np.arange(300)), read(np.arange(300, 600))
     unit = hnsw._unit(v)
-    near = np.argwhere(unit @ unit.T >= cfg.threshold)
-    assert hnsw.links_between(packed, packed, True, cfg)[0].tolist() == [[a, b] for a, b in near.tolist() if a < b]
-    assert hnsw.links_between(packed, other, False, cfg)[0].tolist() == [[a, b + 300] for a, b in near.tolist()]
+    near = unit @ unit.T >= cfg.threshold
+    assert (hnsw.links_between(shard, other, cfg)[0] == near).all()
+    np.fill_diagonal(near, False)
+    assert (hnsw.links_between(shard, shard, cfg)[0] == near).all()
 
 
 def test_warc_round_trip(spark):
