@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +15,8 @@ IGNORE = -100
 END_MARKS = ("<|im_end|>", "</s>", "<|eot_id|>")
 #: A shrink step takes a twentieth off a side; 200 of them bring any size to the floor.
 SHRINK_STEPS = 200
+#: What a step leaves of an area at least, rounding of small sides included, and how much whole patches exceed an area at most.
+SHRINK_RATE, PATCH_EXCESS = 0.965, 2.25
 
 
 def col(c: Column | str) -> Column:
@@ -74,7 +78,12 @@ def fit_resolution(width: Column | str, height: Column | str, target: Column | s
         smaller = F.when(kept["w"] > kept["h"], size(less_w, snap(less_w / aspect))).otherwise(size(snap(less_h * aspect), less_h))
         return F.when(tokens_per_frame(kept["w"], kept["h"]) > target, smaller).otherwise(kept)
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(SHRINK_STEPS)), size(w0, h0), shrink, settle)
+    # As many steps as the area can need to come down to the target, and some to spare; none where the size is small already.
+    ratio = w0 * h0 * (PATCH_EXCESS / 2 / PATCH**2) / F.greatest(target, F.lit(0.5))
+    steps = F.ceil(F.log(F.greatest(ratio, F.lit(1.0))) / -math.log(SHRINK_RATE)) + 8
+    steps = F.when(tokens_per_frame(w0, h0) > target, F.least(steps, F.lit(SHRINK_STEPS))).otherwise(0).cast("int")
+    none = F.array().cast("array<int>")
+    found = F.aggregate(F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(none), size(w0, h0), shrink, settle)
     return F.struct(found["w"].cast("int").alias("width"), found["h"].cast("int").alias("height"))
 
 
@@ -95,6 +104,22 @@ def budget_tokens(total: Column, frames: Column, per_frame: Column, max_tokens:
     return F.when(total > max_tokens, F.floor(F.lit(max_tokens) / frames)).otherwise(per_frame).cast("long")
 
 
+def video_metadata(n_frames: Column | str, fps: Column | str, width: Column | str, height: Column | str, new_width: Column | str, new_height: Column | str, max_duration: float = 420, max_frames: int = 420) -> Column:
+    """struct(original, processed) of a video's length, rate, size and tokens, before and after its frames are picked and shrunk (O-P11)."""
+    n, fps = col(n_frames), col(fps).cast("double")
+    duration = n / fps
+    short = duration <= max_duration
+    taken = F.when(short, F.ceil(n / fps)).otherwise(max_frames).cast("long")
+    size = lambda w, h: F.struct(col(w).cast("int").alias("width"), col(h).cast("int").alias("height"))
+    before, after = tokens_per_frame(width, height), tokens_per_frame(new_width, new_height)
+    original = F.struct(duration.alias("duration"), n.cast("long").alias("frame_count"), fps.alias("fps"), size(width, height).alias("resolution"), before.alias("tokens_per_frame"))
+    processed = F.struct(
+        taken.alias("frame_count"), F.when(short, F.lit(1.0)).otherwise(max_frames / duration).alias("sampling_frequency"), F.when(short, "1fps").otherwise("uniform").alias("sampling_mode"),
+        size(new_width, new_height).alias("resolution"), after.alias("tokens_per_frame"), (after * taken).alias("total_tokens"),
+    )
+    return F.struct(original.alias("original"), processed.alias("processed"))
+
+
 # --- text (O-X7 to O-X17, O-P6 to O-P10) ---
 
 
@@ -108,6 +133,12 @@ def count_of(text: Column | str, token: str) -> Column:
     return ((F.length(col(text)) - F.length(F.replace(col(text), F.lit(token), F.lit("")))) / len(token)).cast("long")
 
 
+def equal_counts(value: Column, text: Column | str, token: str, media: Column) -> Column:
+    """The value, or an error where the text holds another number of tokens than there are media (O-X9)."""
+    said = F.concat(F.lit(f"number of {token} ("), count_of(text, token).cast("string"), F.lit(") differs from the number of media ("), media.cast("string"), F.lit(")"))
+    return F.when(F.coalesce(count_of(text, token) == media, F.lit(False)), value).otherwise(F.raise_error(F.coalesce(said, F.lit(f"no text or no media to compare {token} with"))))
+
+
 def media_metas(text: Column | str) -> Column:
     """Media notes from JSON: resolution as [w, h] or {width, height}, fps 1 where missing."""
     listed = F.from_json(col(text), "array<struct<num_frames:bigint,resolution:array<int>,fps:double>>")
@@ -188,12 +219,48 @@ def pad_length(n: Column | str, multiple: int = 128) -> Column:
     return F.pmod(F.lit(multiple) - F.pmod(col(n), F.lit(multiple)), F.lit(multiple))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once and not at each place it stands in."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _raised(x: Column) -> Column:
+    """exp of each element less the greatest."""
+    return _let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+
+
 def softmax(logits: Column | str, temperature: float = 1.0) -> Column:
-    scaled = F.transform(col(logits), lambda x: x / temperature)
-    top = F.array_max(scaled)
-    raised = F.transform(scaled, lambda x: F.exp(x - top))
-    total = F.aggregate(raised, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(raised, lambda x: x / total)
+    scaled = F.transform(col(logits), lambda x: x / temperature) if temperature != 1.0 else col(logits)
+    shares = lambda e: _let(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(e, lambda x: x / total))
+    return _let(scaled, lambda x: _let(_raised(x), shares))
+
+
+def repetition_penalty(logits: Column | str, seen: Column | str, penalty: float) -> Column:
+    """Logits of the ids seen before, divided by the penalty, or multiplied where they are negative."""
+    return F.transform(col(logits), lambda x, i: F.when(F.array_contains(col(seen), i), F.when(x < 0, x * penalty).otherwise(x / penalty)).otherwise(x))
+
+
+def top_p(logits: Column | str, p: float) -> Column:
+    """Logits of the likeliest entries that hold p of the probability, others at minus infinity; the greatest stays, and so do all that equal the least that stays."""
+    start = lambda: F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+
+    def least(x: Column, total: Column) -> Column:
+        """The first of the ascending x up to which more than 1 - p of the weight lies."""
+        step = lambda s, w: F.struct((s["sum"] + w).alias("sum"), (s["n"] + (s["sum"] + w <= total * (1 - p)).cast("int")).alias("n"))
+        return F.get(x, F.least(F.aggregate(_raised(x), start(), step, lambda s: s["n"]), F.size(x) - 1))
+
+    cut = lambda x: _let(F.aggregate(_raised(x), F.lit(0.0), lambda s, w: s + w), lambda total: least(x, total))
+    return _let(col(logits), lambda x: _let(_let(F.array_sort(x), cut), lambda v: F.transform(x, lambda y: F.when(y >= v, y).otherwise(F.lit(float("-inf"))))))
+
+
+def next_token(logits: Column | str, temperature: float = 1.0, p: float = 1.0, penalty: float = 1.0, seen: Column | str | None = None) -> Column:
+    """Probabilities of the next token: penalty, then top-p, then temperature (O-N1)."""
+    out = col(logits)
+    if penalty != 1.0 and seen is not None:
+        out = repetition_penalty(out, seen, penalty)
+    if p != 1.0:
+        out = top_p(out, p)
+    return softmax(out, temperature)
 
 
 def acceptance_rate(p: Column | str, q: Column | str) -> Column:
@@ -275,6 +342,11 @@ def starts_from_lengths(lengths: Column | str) -> Column:
     return F.aggregate(col(lengths), zero, lambda s, x: F.struct((s["n"] + x).alias("n"), F.concat(s["out"], F.array(s["n"] + x)).alias("out")), lambda s: s["out"])
 
 
+def starts_from_masks(masks: Column | str) -> Column:
+    """0, then the running sums of how many places each mask sets (O-W5)."""
+    return starts_from_lengths(F.transform(col(masks), lambda m: F.size(F.filter(m, lambda x: x.cast("boolean"))).cast("long")))
+
+
 def combine_starts(lists: Column | str) -> Column:
     """Running offsets of several sequences' own offsets, laid one after another."""
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.array(F.lit(0).cast("long")).alias("out"))

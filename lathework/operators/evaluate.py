@@ -56,6 +56,14 @@ def log_sum_exp(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def mask_lengths(rows: DataFrame, mask: str) -> DataFrame:
-    """Each row's number of set places, running sums with a leading 0, and the greatest over all."""
+    """The greatest number of set places of a row's mask, and that of all rows. Running sums of a batch: scalars.starts_from_masks."""
     n = F.size(F.filter(F.col(mask), lambda x: x.cast("boolean")))
     return rows.agg(F.max(n).alias("max_seqlen"), F.sum(n).alias("total"))
+
+
+def run_counts(wanted: DataFrame, done: DataFrame, keys: list[str], good: Column | str | None = None) -> DataFrame:
+    """One row: total, processed (wanted keys that are done), remaining and successes (done rows that are good) of a run (O-A9)."""
+    marked = done.select(*keys, (X.col(good).cast("boolean") if good is not None else F.lit(True)).alias("__good")).groupBy(*keys).agg(F.max("__good").alias("__good"))
+    there = wanted.select(*keys).distinct().join(marked.withColumn("__done", F.lit(True)), keys, "left")
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    return there.agg(F.count("*").alias("total"), count(F.col("__done")).alias("processed"), (F.count("*") - count(F.col("__done"))).alias("remaining"), count(F.col("__good")).alias("successes"))

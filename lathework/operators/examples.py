@@ -14,6 +14,9 @@ VIDEO = "<video>"
 CAPTION_PROMPTS = (
     "Describe what this video shows.", "What is happening in this clip?", "Give an account of the scenes in this video.", "Summarise the clip in your own words.",
     "Explain what can be seen here.", "What does this recording present?", "Write a caption for this video.", "Tell me what takes place in the clip.",
+    "Which procedure or finding does the clip show?", "Walk through this recording step by step.", "What would a clinician note in these scenes?", "Put the content of this video into words.",
+    "What is the subject of this recording?", "Name and describe what the camera records.", "Report what you see from start to end.", "How would you describe this clip to a colleague?",
+    "State the main content of the footage.", "What does the viewer learn from this clip?", "Narrate the events of this video.", "Give a short description of the footage.",
 )
 
 

@@ -38,6 +38,18 @@ def require(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
+def complete(df: DataFrame, names: list[str]) -> DataFrame:
+    """Rows that have a value in each of the fields (O-F7); a field that isn't a column is missing in all rows."""
+    return df.dropna(subset=names) if all(n in df.columns for n in names) else df.filter(F.lit(False))
+
+
+def not_empty(df: DataFrame, what: str = "dataset") -> DataFrame:
+    """The table, or an error if it has no row (O-F12); it reads one row."""
+    if not df.limit(1).count():
+        raise ValueError(f"the {what} is empty")
+    return df
+
+
 def guard(df: DataFrame, good: Column, message: str, on: str) -> DataFrame:
     """Fails the job at a row that breaks the rule; `on` is the column that carries the check."""
     return df.withColumn(on, F.when(F.coalesce(good, F.lit(False)), F.col(on)).otherwise(F.raise_error(F.lit(message)).cast(df.schema[on].dataType)))
@@ -67,12 +79,18 @@ def shuffle_key(seed: int | str, row: Column | str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), row.cast("string")))
 
 
-def ranked(df: DataFrame, order: list[Column | str], name: str, buckets: int = 64) -> DataFrame:
+def balanced(df: DataFrame, parts: int) -> DataFrame:
+    """The rows dealt out evenly in no order, to balance work (O-L7)."""
+    return df.repartition(parts)
+
+
+def ranked(df: DataFrame, order: list[Column | str], name: str, buckets: int | None = None) -> DataFrame:
     """The row number over the whole table, from 1, without sorting it in one task.
 
-    Range partitions are sorted apart; a partition's rows are then shifted by the rows of those before it, a table of one
-    row a partition.
+    Range partitions (buckets; the session's shuffle partitions if not given) are sorted apart; a partition's rows are then
+    shifted by the rows of those before it, a table of one row a partition.
     """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = df.repartitionByRange(buckets, *order).withColumn("__part", F.spark_partition_id())
     # The split points are drawn anew if the plan runs twice, so the numbered parts are fixed by a checkpoint or a write.
     parts = parts.transform(_fixed)
@@ -99,29 +117,43 @@ class MixPart:
 def ratio_mix(parts: list[MixPart], row: str, seed: int = 42, dedup_key: str | None = None) -> DataFrame:
     """int(ratio) whole copies of each part, then the first int(ratio % 1 * n) rows of its shuffled order.
 
-    With dedup_key the first occurrence over the whole mix, in the parts' order, stays before ratios apply. Columns added:
-    dataset_mix_source, mix_idx, copy (from 1; 0 for the fractional rows).
+    With dedup_key the first occurrence over the whole mix, in the parts' order, stays before transforms and ratios apply.
+    Columns added: dataset_mix_source, mix_idx, copy (from 1; 0 for the fractional rows).
+
+    The mix is written once; its parts are counted in one pass, and rows are numbered by ranges of (part, shuffle key), so
+    no part is sorted in one task.
     """
     if any(p.ratio < 0 for p in parts):
         raise ValueError("a mix ratio is negative")
-    named = [(p.transform(p.df) if p.transform else p.df).withColumns({"dataset_mix_source": F.lit(p.name), "mix_idx": F.lit(i)}) for i, p in enumerate(parts)]
+    if not any(p.ratio for p in parts):
+        raise ValueError("the mix is empty")
+    named = [p.df.withColumns({"dataset_mix_source": F.lit(p.name), "mix_idx": F.lit(i)}) for i, p in enumerate(parts)]
     if dedup_key:
         whole = reduce(DataFrame.unionByName, [require(d, [dedup_key]) for d in named])
         whole = first_by_key(whole, dedup_key, ["mix_idx", row])
-        named = [whole.filter(F.col("mix_idx") == i) for i in range(len(parts))]
+        if any(p.transform for p in parts):
+            whole = _fixed(whole)
+        named = [whole.filter(F.col("mix_idx") == i) for i in range(len(parts))] if any(p.transform for p in parts) else [whole]
+    if any(p.transform for p in parts):
+        named = [p.transform(d) if p.transform else d for p, d in zip(parts, named)]
+    mix = _fixed(reduce(DataFrame.unionByName, named).filter(F.col("mix_idx").isin([i for i, p in enumerate(parts) if p.ratio])))
+
+    by_part = lambda values: F.coalesce(*(F.when(F.col("mix_idx") == i, F.lit(v)) for i, v in values.items()))
+    copies = {i: int(p.ratio) for i, p in enumerate(parts) if int(p.ratio)}
     out = []
-    for i, (p, d) in enumerate(zip(parts, named)):
-        copies, fraction = int(p.ratio), p.ratio % 1
-        if copies:
-            out.append(d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))))
-        if fraction:
-            n = d.count()
-            least = int(fraction * n)
-            head = d.orderBy(shuffle_key(f"{seed}:{i}", row), row).limit(least)
-            out.append(head.withColumn("copy", F.lit(0)))
-    if not out:
-        return named[0].withColumn("copy", F.lit(0)).limit(0)
-    return reduce(DataFrame.unionByName, out)
+    if copies:
+        out.append(mix.filter(F.col("mix_idx").isin(list(copies))).withColumn("copy", F.explode(F.sequence(F.lit(1), by_part(copies)))))
+    sizes = {r["mix_idx"]: r["count"] for r in mix.groupBy("mix_idx").count().collect()}  # a row for each part
+    heads = {i: int(p.ratio % 1 * sizes.get(i, 0)) for i, p in enumerate(parts)}
+    heads = {i: n for i, n in heads.items() if n}
+    if heads:
+        before, at = {}, 0
+        for i in heads:
+            before[i], at = at, at + sizes[i]
+        shuffled = F.md5(F.concat(F.lit(f"{seed}:"), F.col("mix_idx").cast("string"), F.lit(":"), F.col(row).cast("string")))
+        numbered = ranked(mix.filter(F.col("mix_idx").isin(list(heads))), [F.col("mix_idx"), shuffled, F.col(row)], "__place")
+        out.append(numbered.filter(F.col("__place") - by_part(before) <= by_part(heads)).drop("__place").withColumn("copy", F.lit(0)))
+    return reduce(DataFrame.unionByName, out) if out else mix.withColumn("copy", F.lit(0)).limit(0)
 
 
 def contiguous_shard(row_index: Column, n: Column | int, k: int) -> Column:

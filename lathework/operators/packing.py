@@ -1,7 +1,8 @@
 """Packing token sequences into bins, and laying bins out as padded rows (O-T1, O-T4 to O-T11, O-W2 to O-W5, O-J8).
 
-Packing is sequential within a group, and only (row index, length) pairs reach it. Rows are dealt by a hash of the index into
-groups of about GROUP_ROWS, so no task packs the whole table; each group costs at most one partly filled bin more.
+Packing is sequential within a group, and only (row index, length) pairs reach it. A group is a range of `group_rows` row
+indices, by the same rule at every size, so no task packs the whole table and order is kept; each group costs at most one
+partly filled bin more.
 """
 
 from __future__ import annotations
@@ -74,18 +75,19 @@ def next_fit(sizes: list[int], capacity: int, seed: int | None = None) -> list[l
 METHODS: dict[str, Callable] = {"ffd": first_fit_decreasing, "next_fit": next_fit}
 
 
-def pack(rows: DataFrame, index: str, length: str, capacity: int, method: str = "ffd", seed: int | None = None, groups: int | None = None, start: str | None = None) -> DataFrame:
+def pack(rows: DataFrame, index: str, length: str, capacity: int, method: str = "ffd", seed: int | None = None, group_rows: int = GROUP_ROWS, start: str | None = None) -> DataFrame:
     """bin_id, index_bins: one row per bin. A length over the capacity, or none, fails the job.
 
-    start: the column that tells the chunks of a row apart (see `chunks`); start_bins then holds it beside index_bins.
+    Rows whose indices lie in the same range of group_rows are packed together; bin_id is the range's number times 2^40, plus
+    the bin's number in it. start: the column that tells the chunks of a row apart (see `chunks`); start_bins then holds it
+    beside index_bins.
     """
     if method not in METHODS:
         raise ValueError(f"no packing method {method!r}; there are {', '.join(METHODS)}")
     fit = METHODS[method]
-    groups = groups or max(1, -(-rows.count() // GROUP_ROWS))
     size = F.when((F.col(length) <= capacity) & (F.col(length) >= 0), F.col(length)).otherwise(F.raise_error(F.lit(f"a length is over {capacity} or missing")).cast("long"))
     part = F.col(start).cast("long") if start else F.lit(None).cast("long")
-    dealt = rows.select(F.col(index).cast("long").alias("row_idx"), part.alias("start"), size.cast("long").alias("n")).withColumn("grp", F.pmod(F.xxhash64("row_idx"), F.lit(groups)).cast("int"))
+    dealt = rows.select(F.col(index).cast("long").alias("row_idx"), part.alias("start"), size.cast("long").alias("n")).withColumn("grp", F.floor(F.col("row_idx") / group_rows).cast("long"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["row_idx", "start"] if start else "row_idx")
@@ -148,9 +150,42 @@ def tokenize(rows: DataFrame, text: str, encode: Callable[[pd.Series], pd.Series
 
 
 def maybe_unmasked(labels: Column, ids: Column, key: Column, probability: float) -> Column:
-    """Labels left unmasked for a share of the rows, drawn by a hash of the key."""
+    """Labels left unmasked for a share of the rows, drawn by the md5 of the key."""
     if not probability:
         return labels
-    return F.when(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(probability * (1 << 20)), ids).otherwise(labels)
+    drawn = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long")
+    return F.when(drawn < int(probability * (1 << 32)), ids).otherwise(labels)
 
 
+
+
+def tokenize_media(rows: DataFrame, text: str, metas: Column | str, placeholder: str, model_token: str, media_id: int, encode: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
+    """rows with text (placeholders as model tokens) and input_ids, in which the i-th model token is one media_id for each token of the i-th medium (O-T1, O-X8, O-X9).
+
+    metas: struct(num_frames, width, height) of each medium, or their JSON. As many placeholders as media are needed, else the
+    job fails. A medium has tokens_per_frame(width, height) tokens for each frame. The text between is tokenized by itself.
+    """
+    notes = F.col(metas) if isinstance(metas, str) else metas
+    if isinstance(metas, str) and rows.schema[metas].dataType.typeName() == "string":
+        notes = X.media_metas(metas)
+    said = F.replace(F.col(text), F.lit(placeholder), F.lit(model_token))
+    counts = F.transform(notes, lambda m: (X.tokens_per_frame(m["width"], m["height"]) * m["num_frames"]).cast("int"))
+    marked = rows.withColumn(text, said).withColumn("__counts", counts).withColumn(text, X.equal_counts(F.col(text), text, model_token, F.size("__counts")))
+    parts = F.split(F.col(text), rf"\Q{model_token}\E", -1)
+    if encode is None:
+        ids = F.transform(parts, lambda part: hashed_ids(part))  # noqa: PLW0108  transform would pass a place as the vocabulary
+    else:
+
+        def encode_parts(lists: pd.Series) -> pd.Series:
+            flat = pd.Series([x for parts_ in lists for x in parts_], dtype=object)
+            found, at, out = encode(flat).tolist(), 0, []
+            for parts_ in lists:
+                out.append([list(x) for x in found[at : at + len(parts_)]])
+                at += len(parts_)
+            return pd.Series(out)
+
+        ids = F.pandas_udf(encode_parts, "array<array<int>>")(parts)
+    # The text's parts and the media take turns.
+    media = F.transform("__counts", lambda n: F.array_repeat(F.lit(media_id), n))
+    turns = F.zip_with(ids, media, lambda a, b: F.concat(a, F.coalesce(b, F.array().cast("array<int>"))))
+    return marked.withColumn("input_ids", F.flatten(turns)).drop("__counts")

@@ -39,11 +39,12 @@ def fill_word_times(words: DataFrame, start: str = "ws", end: str = "we", width:
     return known.withColumns({start: F.coalesce(F.col(start), F.col(end) - width), end: F.coalesce(F.col(end), F.col(start) + width)})
 
 
-def words_in_segments(segments: DataFrame, words: DataFrame, keys: list[str], seg: tuple[str, str] = ("start", "end"), word: tuple[str, str] = ("ws", "we"), contained: bool = False, bucket: float | None = None) -> DataFrame:
+def words_in_segments(segments: DataFrame, words: DataFrame, keys: list[str], seg: tuple[str, str] = ("start", "end"), word: tuple[str, str] = ("ws", "we"), contained: bool = False, bucket: float | None = 60.0) -> DataFrame:
     """Inner join of words to segments of the same keys: a word's start or end lies in the segment (start inclusive and end
     exclusive for starts, the other way for ends), or with `contained` both ends lie in it, both inclusive.
 
-    With `bucket` (seconds) long series are cut into time buckets that join the equi key, so a series is no hot key.
+    Series are cut into time buckets of `bucket` seconds that join the equi key, so a long series is no hot key; a bucket of
+    about a segment's length is best. None joins on the keys alone, for short series.
     """
     (s, e), (ws, we) = (map(F.col, seg)), (map(F.col, word))
     inside = ((ws >= s) & (ws <= e) & (we >= s) & (we <= e)) if contained else (((ws >= s) & (ws < e)) | ((we > s) & (we <= e)))
@@ -57,10 +58,10 @@ def words_in_segments(segments: DataFrame, words: DataFrame, keys: list[str], se
     return spread.join(cells, [*keys, "__cell"]).filter(inside & once).drop("__cell")
 
 
-def caption_segments(matched: DataFrame, by: list[str], text: str = "text", position: str = "pos", carry: list[str] | None = None) -> DataFrame:
-    """by, caption: the words of each segment in order, joined by one space and stripped."""
+def caption_segments(matched: DataFrame, by: list[str], text: str = "text", position: str = "pos", carry: list[str] | None = None, count: str | None = None) -> DataFrame:
+    """by, caption: the words of each segment in order, joined by one space and stripped; count names a column of how many they are."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(text).alias("t")))), lambda x: x["t"]), " ")
-    return matched.groupBy(*by).agg(X.strip(joined).alias("caption"), *(F.first(c).alias(c) for c in carry or []))
+    return matched.groupBy(*by).agg(X.strip(joined).alias("caption"), *(F.first(c).alias(c) for c in carry or []), *([F.count("*").alias(count)] if count else []))
 
 
 def pending(videos: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

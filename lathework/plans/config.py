@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import dataclasses
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from typing import Any, get_type_hints
+from types import UnionType
+from typing import Any, Union, get_args, get_origin, get_type_hints
 
 from pyspark.sql import DataFrame
 
@@ -73,31 +75,55 @@ def merge(*kinds: type) -> type:
     return dataclasses.make_dataclass("Settings", ordered)
 
 
-def load_settings(kind: type, text: str, arguments: list[str] | None = None) -> Any:
-    """A dataclass from YAML text, overridden by --name=value arguments cast to the fields' types; an argument given twice errs."""
-    values = {k: v for k, v in parse_yaml(text).items()}
-    hints, given = get_type_hints(kind), set()
-    for argument in arguments or []:
-        name, _, value = argument.removeprefix("--").partition("=")
-        if name in given:
+def read_arguments(arguments: list[str]) -> dict[str, Any]:
+    """--name=value, --name value, or a bare --name for true; one given twice errs."""
+    out: dict[str, Any] = {}
+    i = 0
+    while i < len(arguments):
+        if not arguments[i].startswith("--"):
+            raise ValueError(f"{arguments[i]!r} belongs to no argument")
+        name, equals, value = arguments[i].lstrip("-").partition("=")
+        i += 1
+        if not equals:
+            value = True
+            if i < len(arguments) and not arguments[i].startswith("--"):
+                value, i = arguments[i], i + 1
+        if name in out:
             raise ValueError(f"--{name} is given twice")
-        given.add(name)
-        values[name] = value
+        out[name] = value
+    return out
+
+
+def load_settings(kind: type, text: str, arguments: list[str] | None = None) -> Any:
+    """A dataclass from YAML text, overridden by command-line arguments cast to the fields' types."""
+    values = parse_yaml(text) | read_arguments(arguments or [])
+    hints = get_type_hints(kind)
     known = {f.name for f in dataclasses.fields(kind)}
     if unknown := sorted(set(values) - known):
         raise ValueError(f"no such setting: {', '.join(unknown)}")
     return kind(**{k: _cast(v, hints[k]) for k, v in values.items()})
 
 
+#: Texts that say true and false.
+TRUE, FALSE = ("true", "1", "yes"), ("false", "0", "no")
+
+
 def _cast(value: Any, hint: Any) -> Any:
-    if isinstance(value, str) and hint in (int, float):
+    origin, own = get_origin(hint), get_args(hint)
+    if origin in (Union, UnionType):  # an optional value
+        return value if value is None else _cast(value, next(x for x in own if x is not type(None)))
+    if hint is bool:
+        if isinstance(value, bool):
+            return value
+        if str(value).lower() not in TRUE + FALSE:
+            raise ValueError(f"{value!r} is neither true nor false")
+        return str(value).lower() in TRUE
+    if hint in (int, float) and not isinstance(value, bool):
         return hint(value)
-    if isinstance(value, str) and hint is bool:
-        return value.lower() in ("1", "true", "yes")
-    if isinstance(value, int) and hint is float:
-        return float(value)
-    if isinstance(value, str) and getattr(hint, "__origin__", None) is list:
-        return [_cast(x, hint.__args__[0]) for x in value.split(",")]
+    if isinstance(value, str) and (origin or hint) in (list, dict):
+        if own == (str,) and not value.lstrip().startswith("["):
+            return value.split(",")
+        return json.loads(value)
     return value
 
 

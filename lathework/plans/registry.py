@@ -6,15 +6,21 @@ the score), documents captions, conversations chats, part and documents sizes an
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lathework.functions import scalars as X
 from lathework.operators import annotate, evaluate, examples, mix, packing, segments
+from lathework.sources import store
 
 THRESHOLD, MAX_GAP = 100.0, 10
+#: Events are days apart, and so are their segments' ends.
+DAY = 86400.0
 KEYS = ["user_id"]
 
 
@@ -41,6 +47,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def digest(array: Column | str) -> Column:
+    """md5 of an array's elements, comma-joined."""
+    array = F.col(array) if isinstance(array, str) else array
+    return F.md5(F.array_join(array.cast("array<string>"), ","))
+
+
+def joined(array: str) -> str:
+    return f"md5(array_to_string({array}, ','))"
+
+
 def register(sql: str | None = None) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[f.__name__] = f
@@ -77,14 +93,13 @@ def _words(spark, d):
 @register(f"""WITH {ISLANDS}, {WORDS} SELECT user_id, segment, string_agg(event_type, ' ' ORDER BY event_id) AS caption, count(*) AS n_words
 FROM s JOIN f USING (user_id) WHERE (ws >= "start" AND ws < "end") OR (we > "start" AND we <= "end") GROUP BY ALL""")
 def segment_words(spark, d):
-    found = segments.words_in_segments(_segments(spark, d), _words(spark, d), KEYS).withColumn("one", F.lit(1))
-    out = segments.caption_segments(found, ["user_id", "segment"], "event_type", "event_id")
-    return out.join(found.groupBy("user_id", "segment").agg(F.count("*").alias("n_words")), ["user_id", "segment"])
+    found = segments.words_in_segments(_segments(spark, d), _words(spark, d), KEYS, bucket=DAY)
+    return segments.caption_segments(found, ["user_id", "segment"], "event_type", "event_id", count="n_words")
 
 
 @register(f"""WITH {ISLANDS}, {WORDS} SELECT user_id, segment, count(*) AS n_words FROM s JOIN f USING (user_id) WHERE ws BETWEEN "start" AND "end" AND we BETWEEN "start" AND "end" GROUP BY ALL""")
 def segment_words_contained(spark, d):
-    found = segments.words_in_segments(_segments(spark, d), _words(spark, d), KEYS, contained=True, bucket=86400.0)
+    found = segments.words_in_segments(_segments(spark, d), _words(spark, d), KEYS, contained=True, bucket=DAY)
     return found.groupBy("user_id", "segment").agg(F.count("*").alias("n_words"))
 
 
@@ -221,10 +236,9 @@ def merge_shards(spark, d):
 # --- media geometry ---
 
 
-@register("SELECT p_partkey, len(l) AS n, list_sum(l) AS total FROM (SELECT p_partkey, list_transform(range(CAST(ceil(p_size / 0.5) AS BIGINT)), lambda i: CAST(i AS DOUBLE) * 0.5) AS l FROM part)")
+@register(f"SELECT p_partkey, {joined('list_transform(range(CAST(ceil(p_size / 0.5) AS BIGINT)), lambda i: CAST(i AS DOUBLE) * 0.5)')} AS times FROM part")
 def frame_times(spark, d):
-    t = X.frame_times("p_size")
-    return table(spark, d, "part").select("p_partkey", F.size(t).cast("long").alias("n"), F.aggregate(t, F.lit(0.0), lambda s, x: s + x).alias("total"))
+    return table(spark, d, "part").select("p_partkey", digest(X.frame_times("p_size")).alias("times"))
 
 
 SIZES = "SELECT p_partkey, CAST(200 + (p_partkey * 37) % 1800 AS INT) AS w, CAST(120 + (p_partkey * 53) % 1400 AS INT) AS h, 1 + p_size * 20 AS frames, 24.0 + p_partkey % 7 AS fps, CAST(p_size AS BIGINT) * 700 AS n_frames FROM part"
@@ -239,10 +253,20 @@ def _sizes(spark, d):
 INDICES = "CASE WHEN n_frames / fps <= 420 THEN list_transform(range(CAST(ceil(n_frames / CAST(fps AS DOUBLE)) AS BIGINT)), lambda i: CAST(trunc(i * CAST(fps AS DOUBLE)) AS BIGINT)) ELSE list_transform(range(420), lambda i: CASE WHEN i = 419 THEN n_frames - 1 ELSE CAST(trunc(i * (CAST(n_frames - 1 AS DOUBLE) / 419)) AS BIGINT) END) END"
 
 
-@register(f"SELECT p_partkey, len(l) AS n, CAST(list_sum(l) AS BIGINT) AS total FROM (SELECT p_partkey, {INDICES} AS l FROM ({SIZES}))")
+@register(f"SELECT p_partkey, {joined(INDICES)} AS indices FROM ({SIZES})")
 def frame_indices(spark, d):
-    i = X.frame_indices("n_frames", "fps")
-    return _sizes(spark, d).select("p_partkey", F.size(i).cast("long").alias("n"), F.aggregate(i, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+    return _sizes(spark, d).select("p_partkey", digest(X.frame_indices("n_frames", "fps")).alias("indices"))
+
+
+@register(f"""WITH z AS (SELECT *, n_frames / fps AS duration FROM ({SIZES})), t AS (SELECT *, CAST(CASE WHEN duration <= 420 THEN ceil(n_frames / CAST(fps AS DOUBLE)) ELSE 420 END AS BIGINT) AS taken, 28 * (2 + w % 9) AS nw, 28 * (2 + h % 7) AS nh FROM z)
+SELECT p_partkey, round(duration, 6) AS duration, fps, {'{before}'} AS tokens_before, taken, round(CASE WHEN duration <= 420 THEN 1.0 ELSE 420 / duration END, 9) AS frequency, CASE WHEN duration <= 420 THEN '1fps' ELSE 'uniform' END AS mode, nw AS width, nh AS height, {'{after}'} * taken AS total_tokens FROM t""".format(before="(CAST(ceil(w / 28.0) * ceil(h / 28.0) AS BIGINT) // 2)", after="(CAST(ceil(nw / 28.0) * ceil(nh / 28.0) AS BIGINT) // 2)"))
+def video_metadata(spark, d):
+    rows = _sizes(spark, d).withColumns({"nw": 28 * (2 + F.col("w") % 9), "nh": 28 * (2 + F.col("h") % 7)})
+    m = rows.select("p_partkey", X.video_metadata("n_frames", "fps", "w", "h", "nw", "nh").alias("m")).select("p_partkey", "m.original", "m.processed")
+    return m.select(
+        "p_partkey", F.round("original.duration", 6).alias("duration"), "original.fps", F.col("original.tokens_per_frame").alias("tokens_before"), F.col("processed.frame_count").alias("taken"),
+        F.round("processed.sampling_frequency", 9).alias("frequency"), F.col("processed.sampling_mode").alias("mode"), "processed.resolution.width", "processed.resolution.height", "processed.total_tokens",
+    )
 
 
 @register(f"""WITH z AS ({SIZES}), t AS (SELECT *, CAST(ceil(w / 28.0) * ceil(h / 28.0) AS BIGINT) // 2 AS per_frame FROM z)
@@ -294,10 +318,11 @@ def template_alt(spark, d):
     return _messages(spark, d).select("conv_id", examples.render("messages", "role", generation_prompt=True).alias("text"))
 
 
-@register("SELECT conv_id, count(*) AS n_messages FROM conversations GROUP BY conv_id")
+@register("SELECT conv_id, md5(string_agg(role || ':' || text, '|' ORDER BY turn)) AS said FROM conversations GROUP BY conv_id")
 def messages_from_json(spark, d):
     packed = examples.gather_messages(table(spark, d, "conversations"), "conv_id", "turn").select("conv_id", F.to_json("messages").alias("j"))
-    return packed.select("conv_id", F.size(examples.messages_of("j", True)).cast("long").alias("n_messages"))
+    read = packed.select("conv_id", examples.messages_of("j", True).alias("m"))
+    return read.select("conv_id", F.md5(F.array_join(F.transform("m", lambda m: F.concat_ws(":", m["role"], m["content"])), "|")).alias("said"))
 
 
 @register("SELECT doc_id, md5(replace(replace(replace(text, 'th', 'TH'), 'THe', '<the>'), 'e', 'é')) AS replaced FROM documents")
@@ -331,15 +356,21 @@ def media_notes(spark, d):
 PROMPT_SQL = "list_extract([" + ", ".join("'" + p.replace("'", "''") + "'" for p in examples.CAPTION_PROMPTS) + "], CAST(('0x' || substr(md5('clip/' || doc_id), 1, 8))::BIGINT % " + str(len(examples.CAPTION_PROMPTS)) + " AS INT) + 1)"
 
 
-@register(f"""SELECT 'clip' AS source, md5('clip/' || doc_id || ':caption') AS message_id, 'caption' AS kind, '<video>' || chr(10) || {PROMPT_SQL} || '|' || text AS said FROM documents
-UNION ALL SELECT 'clip', md5('clip/' || doc_id || ':qa'), 'qa', '<video>|' || 'Which language?|' || lang FROM documents WHERE doc_id % 2 = 0""")
+METAS_SQL = """'[{"num_frames":8,"resolution":{"width":280,"height":140},"fps":1.0}]'"""
+CAPTION_SQL = f"'/videos/clip/' || doc_id AS video, {METAS_SQL} AS video_metas, '<video>' AS special FROM documents WHERE doc_id % 5 <> 0"
+
+
+@register(f"""SELECT 'clip' AS source, md5('clip/' || doc_id || ':caption') AS message_id, 'caption' AS kind, 'user,assistant' AS roles, '<video>' || chr(10) || {PROMPT_SQL} || '|' || text AS said, {CAPTION_SQL}
+UNION ALL SELECT 'clip', md5('clip/' || doc_id || ':qa'), 'qa', 'user,user,assistant', '<video>|' || 'Which language?|' || lang, {CAPTION_SQL} AND doc_id % 2 = 0""")
 def caption_examples(spark, d):
     pair = F.struct(F.lit("Which language?").alias("question"), F.lit(None).cast("string").alias("answer"), F.col("lang").alias("correct_answer"))
     items = table(spark, d, "documents").select(
-        F.concat(F.lit("clip/"), "doc_id").alias("video"), F.col("text").alias("caption"), F.when(F.col("doc_id") % 2 == 0, F.array(pair)).otherwise(F.array().cast("array<struct<question:string,answer:string,correct_answer:string>>")).alias("qa_pairs"),
+        F.concat(F.lit("clip/"), "doc_id").alias("video"), F.when(F.col("doc_id") % 5 != 0, F.col("text")).alias("caption"),
+        F.when(F.col("doc_id") % 2 == 0, F.array(pair)).otherwise(F.array().cast("array<struct<question:string,answer:string,correct_answer:string>>")).alias("qa_pairs"),
         F.lit(8).alias("num_frames"), F.lit(280).alias("width"), F.lit(140).alias("height"), F.lit(1.0).alias("fps"),
     )
-    return examples.training_examples(items, "/videos").select("source", "message_id", "kind", F.array_join("messages.content", "|").alias("said"))
+    rows = examples.training_examples(items, "/videos")
+    return rows.select("source", "message_id", "kind", F.array_join("messages.role", ",").alias("roles"), F.array_join("messages.content", "|").alias("said"), F.array_join("videos", ",").alias("video"), "video_metas", F.array_join("special_tokens", ",").alias("special"))
 
 
 @register("""SELECT doc_id, CASE WHEN lower(CASE WHEN doc_id % 3 = 0 THEN 'Yes' ELSE lang END) IN ('yes', 'no') THEN 'Question: ' || source || chr(10) || 'Choose Yes or No.'
@@ -360,10 +391,23 @@ def clean_generations(spark, d):
 IDS = "list_transform(list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''), lambda w: CAST(('0x' || substr(md5(w), 1, 8))::BIGINT % 32000 AS INT))"
 
 
-@register(f"SELECT conv_id, turn, CAST(len(l) AS BIGINT) AS n, CAST(coalesce(list_sum(l), 0) AS BIGINT) AS total FROM (SELECT conv_id, turn, {IDS.format('text')} AS l FROM conversations)")
+@register(f"SELECT conv_id, turn, {joined(IDS.format('text'))} AS ids FROM conversations")
 def tokenize(spark, d):
-    rows = packing.tokenize(table(spark, d, "conversations"), "text")
-    return rows.select("conv_id", "turn", F.size("input_ids").cast("long").alias("n"), F.aggregate("input_ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+    return packing.tokenize(table(spark, d, "conversations"), "text").select("conv_id", "turn", digest("input_ids").alias("ids"))
+
+
+MEDIA = "list_transform(range((1 + p_size % 5) * ((p_partkey + {0}) % 3)), lambda i: CAST(151656 AS INT))"
+
+
+@register(f"""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '<|pad|>' || p_name || ' <|pad|> end' ELSE '<|pad|>' || p_name END AS text, {joined(f"CASE WHEN p_partkey % 3 = 0 THEN {MEDIA.format(0)} || {IDS.format('p_name')} || {MEDIA.format(1)} || {IDS.format("'end'")} ELSE {MEDIA.format(0)} || {IDS.format('p_name')} END")} AS ids FROM part""")
+def media_tokens(spark, d):
+    two = F.col("p_partkey") % 3 == 0
+    note = lambda k: F.concat(F.lit('{"num_frames":'), (F.col("p_partkey") + k) % 3, F.lit(',"resolution":['), 28 * (1 + F.col("p_size") % 5), F.lit(",56]}"))
+    rows = table(spark, d, "part").select(
+        "p_partkey", F.when(two, F.concat(F.lit("<video>"), "p_name", F.lit(" <video> end"))).otherwise(F.concat(F.lit("<video>"), "p_name")).alias("text"),
+        F.concat(F.lit("["), F.when(two, F.concat(note(0), F.lit(","), note(1))).otherwise(note(0)), F.lit("]")).alias("metas"),
+    )
+    return packing.tokenize_media(rows, "text", "metas", "<video>", "<|pad|>", 151656).select("p_partkey", "text", digest("input_ids").alias("ids"))
 
 
 @register(f"SELECT conv_id, turn FROM conversations WHERE len({IDS.format('text')}) <= 64")
@@ -372,7 +416,9 @@ def long_filter(spark, d):
 
 
 BOS, EOS = [40001, 40002], [40003]
-MASKED = f"WITH t AS (SELECT conv_id, turn, role, len({IDS.format('text')}) AS n FROM conversations) "
+MASKED = f"""t AS (SELECT conv_id, turn, role, {IDS.format('text')} AS x FROM conversations),
+u AS (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN [40001, 40002] ELSE [40000] END || x || [40003] AS ids, CASE WHEN role = 'assistant' THEN [-100, -100] || x || [40003] ELSE list_transform(range(len(x) + 2), lambda i: CAST(-100 AS INT)) END AS labels FROM t),
+c AS (SELECT conv_id, flatten(list(ids ORDER BY turn)) AS ids, flatten(list(labels ORDER BY turn)) AS labels FROM u GROUP BY conv_id)"""
 
 
 def _labelled(spark, d):
@@ -383,9 +429,20 @@ def _labelled(spark, d):
     return whole.withColumn("labels", X.mask_labels("input_ids", BOS, EOS))
 
 
-@register(MASKED + "SELECT conv_id, CAST(sum(n + CASE WHEN role = 'assistant' THEN 3 ELSE 2 END) AS BIGINT) AS n, CAST(sum(CASE WHEN role = 'assistant' THEN n + 1 ELSE 0 END) AS BIGINT) AS n_kept FROM t GROUP BY conv_id")
+@register(f"WITH {MASKED} SELECT conv_id, {joined('ids')} AS ids, {joined('labels')} AS labels FROM c")
 def label_mask(spark, d):
-    return _labelled(spark, d).select("conv_id", F.size("labels").cast("long").alias("n"), F.size(F.filter("labels", lambda x: x != X.IGNORE)).cast("long").alias("n_kept"))
+    return _labelled(spark, d).select("conv_id", digest("input_ids").alias("ids"), digest("labels").alias("labels"))
+
+
+@register(f"WITH {MASKED} SELECT conv_id, {joined("CASE WHEN ('0x' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 8))::BIGINT < CAST(floor(0.3 * 4294967296) AS BIGINT) THEN ids ELSE labels END")} AS labels FROM c")
+def unmasked_share(spark, d):
+    rows = _labelled(spark, d)
+    return rows.select("conv_id", digest(packing.maybe_unmasked(F.col("labels"), F.col("input_ids"), F.col("conv_id"), 0.3)).alias("labels"))
+
+
+@register(f"WITH {MASKED} SELECT max(n) AS max_seqlen, CAST(sum(n) AS BIGINT) AS total FROM (SELECT CAST(len(list_filter(labels, lambda x: x <> -100)) AS INT) AS n FROM c)")
+def mask_lengths(spark, d):
+    return evaluate.mask_lengths(_labelled(spark, d).withColumn("mask", F.transform("labels", lambda x: x != X.IGNORE)), "mask")
 
 
 @register("SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant'")
@@ -393,17 +450,29 @@ def all_masked_drop(spark, d):
     return _labelled(spark, d).filter(X.any_target("labels")).select("conv_id")
 
 
-@register(MASKED + "SELECT conv_id, CAST(sum(CASE WHEN role = 'assistant' THEN n + 1 ELSE 0 END) AS BIGINT) AS n FROM t GROUP BY conv_id")
+@register(f"WITH {MASKED} SELECT conv_id, {joined('list_filter(labels[2:], lambda x: x <> -100)')} AS targets FROM c")
 def shifted_labels(spark, d):
-    return _labelled(spark, d).select("conv_id", F.size(X.shifted_targets("labels")).cast("long").alias("n"))
+    return _labelled(spark, d).select("conv_id", digest(X.shifted_targets("labels")).alias("targets"))
 
 
 CAPACITY = 16384
-LENGTHS = f"SELECT doc_id, least(len(string_split(text, ' ')), {CAPACITY}) AS n FROM documents"
+LENGTHS = "SELECT doc_id, CAST(coalesce(len(string_split(text, ' ')), 0) AS BIGINT) AS n FROM documents"
+#: Texts over CAPACITY as whole chunks; idx is the row's number, part the chunk's start.
+ITEMS = f"""SELECT doc_id AS idx, part, CASE WHEN part IS NULL THEN CAST(doc_id AS VARCHAR) ELSE doc_id || ':' || part END AS name, CASE WHEN part IS NULL THEN n ELSE least(n - part, {CAPACITY}) END AS n
+FROM (SELECT doc_id, n, unnest(CASE WHEN n > {CAPACITY} THEN range(0, n, {CAPACITY}) ELSE [NULL] END) AS part FROM ({LENGTHS}))"""
+
+
+def ffd_sql(items: str, capacity: int) -> str:
+    """CTE r(grp, i, name, bin_id) of first-fit decreasing: items (idx, part, name, n) in their order, with the free space of all bins carried along."""
+    return f"""l AS (SELECT idx // {packing.GROUP_ROWS} AS grp, name, n, row_number() OVER (ORDER BY idx // {packing.GROUP_ROWS}, n DESC, idx, part) AS i FROM ({items})),
+b AS (SELECT i, grp, name, CAST(1 AS BIGINT) AS place, [{capacity} - n] AS free FROM l WHERE i = 1 UNION ALL
+ SELECT i, grp, name, place, CASE WHEN place > len(free) THEN free || [{capacity} - n] ELSE free[1 : place - 1] || [free[place] - n] || free[place + 1 :] END
+ FROM (SELECT l.i, l.grp, l.name, l.n, CASE WHEN l.grp = b.grp THEN b.free ELSE [] END AS free,
+  CASE WHEN l.grp = b.grp THEN coalesce(nullif(list_position(list_transform(b.free, lambda f: f >= l.n), true), 0), len(b.free) + 1) ELSE 1 END AS place FROM b JOIN l ON l.i = b.i + 1)),
+r AS (SELECT grp, i, name, CAST(grp * 1099511627776 + place - 1 AS BIGINT) AS bin_id FROM b)"""
 
 
 def _lengths(spark, d):
-    """Whole lengths; LENGTHS counts no text beyond CAPACITY."""
     return table(spark, d, "documents").select("doc_id", F.coalesce(F.size(F.split("text", " ", -1)), F.lit(0)).cast("long").alias("n"))
 
 
@@ -414,15 +483,15 @@ def _packed(spark, d, method):
     return bins.select("bin_id", F.array_join(names, ",").alias("members"))
 
 
-@register()
+@register(f"WITH RECURSIVE {ffd_sql(ITEMS, CAPACITY)} SELECT bin_id, string_agg(name, ',' ORDER BY i) AS members FROM r GROUP BY bin_id")
 def pack_ffd(spark, d):
     return _packed(spark, d, "ffd")
 
 
-@register(f"""WITH RECURSIVE l AS (SELECT doc_id, n, row_number() OVER (ORDER BY doc_id) AS i FROM ({LENGTHS})),
-r AS (SELECT i, doc_id, n AS used, CAST(0 AS BIGINT) AS bin_id FROM l WHERE i = 1 UNION ALL
-SELECT l.i, l.doc_id, CASE WHEN r.used + l.n > {CAPACITY} THEN l.n ELSE r.used + l.n END, CASE WHEN r.used + l.n > {CAPACITY} THEN r.bin_id + 1 ELSE r.bin_id END FROM r JOIN l ON l.i = r.i + 1)
-SELECT bin_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY i) AS members FROM r GROUP BY bin_id""")
+@register(f"""WITH RECURSIVE l AS (SELECT idx // {packing.GROUP_ROWS} AS grp, name, n, row_number() OVER (ORDER BY idx, part) AS i FROM ({ITEMS})),
+r AS (SELECT i, grp, name, n AS used, CAST(grp * 1099511627776 AS BIGINT) AS bin_id FROM l WHERE i = 1 UNION ALL
+SELECT l.i, l.grp, l.name, CASE WHEN l.grp <> r.grp OR r.used + l.n > {CAPACITY} THEN l.n ELSE r.used + l.n END, CAST(CASE WHEN l.grp <> r.grp THEN l.grp * 1099511627776 WHEN r.used + l.n > {CAPACITY} THEN r.bin_id + 1 ELSE r.bin_id END AS BIGINT) FROM r JOIN l ON l.i = r.i + 1)
+SELECT bin_id, string_agg(name, ',' ORDER BY i) AS members FROM r GROUP BY bin_id""")
 def pack_next_fit(spark, d):
     return _packed(spark, d, "next_fit")
 
@@ -436,20 +505,40 @@ def cu_seqlens(spark, d):
     return rows.select("conv_id", F.when(same, F.element_at("s", -1)).alias("total"), F.size("s").cast("long").alias("n_starts"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x).alias("positions"))
 
 
-@register(f"SELECT doc_id, n, (128 - n % 128) % 128 AS pads, n + (128 - n % 128) % 128 AS padded FROM ({LENGTHS})")
+PAD = "{0} || list_transform(range((128 - len({0}) % 128) % 128), lambda i: CAST({1} AS INT))"
+
+
+@register(f"SELECT doc_id, n, (128 - n % 128) % 128 AS pads, {joined(PAD.format('l', 0))} AS ids FROM (SELECT doc_id, n, list_transform(range(n), lambda i: CAST(i % 9 + 1 AS INT)) AS l FROM ({LENGTHS}))")
 def pad128(spark, d):
     rows = _lengths(spark, d).withColumn("pads", X.pad_length("n"))
-    ids = X.pad_right(F.array_repeat(F.lit(1), F.col("n").cast("int")), (F.col("n") + F.col("pads")).cast("int"), 0)
-    return rows.select("doc_id", "n", F.col("pads").cast("long").alias("pads"), F.size(ids).cast("long").alias("padded"))
+    own = F.transform(F.array_repeat(F.lit(1), F.col("n").cast("int")), lambda _, i: i % 9 + 1)
+    return rows.select("doc_id", "n", F.col("pads").cast("long").alias("pads"), digest(X.pad_right(own, (F.col("n") + F.col("pads")).cast("int"), 0)).alias("ids"))
 
 
-@register(MASKED + "SELECT CAST(sum(n + CASE WHEN role = 'assistant' THEN 3 ELSE 2 END) AS BIGINT) AS n_tokens, CAST(sum(CASE WHEN role = 'assistant' THEN n + 1 ELSE 0 END) AS BIGINT) AS n_targets FROM t")
+@register(f"""WITH RECURSIVE {MASKED}, {ffd_sql('SELECT conv_id AS idx, 0 AS part, conv_id AS name, CAST(len(ids) AS BIGINT) AS n FROM c', 4096)},
+m AS (SELECT r.bin_id, r.i, c.ids, c.labels, c.conv_id, sum(len(c.ids)) OVER (PARTITION BY r.bin_id ORDER BY r.i) AS stop, first_value(c.conv_id) OVER (PARTITION BY r.bin_id ORDER BY r.i) AS head FROM r JOIN c ON c.conv_id = r.name),
+f AS (SELECT bin_id, flatten(list(ids ORDER BY i)) AS ids, flatten(list(labels ORDER BY i)) AS labels, flatten(list(range(len(ids)) ORDER BY i)) AS positions, [0] || list(CAST(stop AS BIGINT) ORDER BY i) AS starts,
+ CASE WHEN any_value(head) % 2 = 0 THEN coalesce(string_agg('v' || conv_id, ',' ORDER BY i) FILTER (WHERE conv_id % 2 = 0), '') END AS videos FROM m GROUP BY bin_id)
+SELECT bin_id, {joined(PAD.format('ids', 0))} AS input_ids, {joined(PAD.format('list_transform(ids, lambda i: CAST(1 AS INT))', 0))} AS attention_mask, {joined(PAD.format('positions', 0))} AS position_ids, {joined(PAD.format('labels', -100))} AS labels, array_to_string(starts, ',') AS cu_seqlens, videos FROM f""")
 def collate_bins(spark, d):
-    rows = _labelled(spark, d).withColumns({"n": F.size("input_ids"), "videos": F.array(F.lit("v"))})
+    rows = _labelled(spark, d).withColumns({"n": F.size("input_ids"), "videos": F.when(F.col("conv_id") % 2 == 0, F.array(F.concat(F.lit("v"), "conv_id")))})
+    rows = store.write_table(rows, "labelled")  # packed, and then joined to its bins
     bins = packing.pack(rows.select("conv_id", "n"), "conv_id", "n", 4096)
     out = packing.collate(packing.bin_rows(bins, rows, "conv_id"))
-    seen = lambda c, f: F.sum(F.size(F.filter(c, f))).cast("long")
-    return out.agg(seen("attention_mask", lambda x: x).alias("n_tokens"), seen("labels", lambda x: x != X.IGNORE).alias("n_targets"))
+    flags = F.transform("attention_mask", lambda x: x.cast("int"))
+    return out.select("bin_id", digest("input_ids").alias("input_ids"), digest(flags).alias("attention_mask"), digest("position_ids").alias("position_ids"), digest("labels").alias("labels"), F.array_join(F.col("cu_seqlens").cast("array<string>"), ",").alias("cu_seqlens"), F.array_join("videos", ",").alias("videos"))
+
+
+@register(f"""WITH {PLAIN_CHAT}, l AS (SELECT conv_id, turn, CAST(length(content) AS BIGINT) AS n, sum(length(content)) OVER (PARTITION BY conv_id ORDER BY turn) AS stop FROM m),
+s AS (SELECT conv_id, [0] || list(CAST(stop AS BIGINT) ORDER BY turn) AS s, list(n ORDER BY turn) AS l FROM l GROUP BY conv_id)
+SELECT conv_id, array_to_string(s, ',') AS from_masks, array_to_string(s || list_transform(s[2:], lambda x: x + s[-1]), ',') AS combined,
+ {joined("flatten(list_transform(range(1, len(s)), lambda i: range(s[i], (s[i] + s[i + 1]) // 2)))")} AS front, {joined("flatten(list_transform(range(1, len(s)), lambda i: range((s[i] + s[i + 1]) // 2, s[i + 1])))")} AS back FROM s""")
+def packed_offsets(spark, d):
+    lengths = F.transform("messages", lambda m: F.length(m["content"]))
+    masks = F.transform(lengths, lambda n: F.concat(F.array_repeat(F.lit(True), n), F.array(F.lit(False))))
+    rows = _messages(spark, d).select("conv_id", X.starts_from_masks(masks).alias("m"), X.starts_from_lengths(lengths).alias("s"))
+    rows = rows.withColumn("two", X.combine_starts(F.array("s", "s")))
+    return rows.select("conv_id", F.array_join(F.col("m").cast("array<string>"), ",").alias("from_masks"), F.array_join(F.col("two").cast("array<string>"), ",").alias("combined"), digest(X.half_index("s", True)).alias("front"), digest(X.half_index("s", False)).alias("back"))
 
 
 # --- evaluation, metrics, vectors ---
@@ -509,16 +598,40 @@ def acceptance_rate(spark, d):
     return _pairs(spark, d, 0.5).select("vec_id", F.round(X.acceptance_rate("p", "q"), 6).alias("rate"))
 
 
+@register("""WITH v AS (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+w AS (SELECT vec_id, i, CASE WHEN i IN (3, 5, vec_id % 64) THEN CASE WHEN e < 0 THEN CAST(e AS DOUBLE) * 1.3 ELSE CAST(e AS DOUBLE) / 1.3 END ELSE CAST(e AS DOUBLE) END AS x FROM v),
+q AS (SELECT *, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS q FROM w),
+c AS (SELECT *, sum(q) OVER (PARTITION BY vec_id ORDER BY x, i ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i DESC) AS place FROM q),
+k AS (SELECT vec_id, i, CASE WHEN upto <= 1 - 0.9 AND place > 1 THEN 0 ELSE exp(x / 0.7) END AS y FROM c),
+p AS (SELECT vec_id, i, y / sum(y) OVER (PARTITION BY vec_id) AS p, y > 0 AS kept FROM k)
+SELECT a.vec_id, round(1 - sum(abs(a.p - b.p)) / 2, 6) AS rate, count(*) FILTER (WHERE a.kept) AS n_kept FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 AND b.i = a.i GROUP BY a.vec_id""")
+def acceptance_rate_top_p(spark, d):
+    logits = F.transform("embedding", lambda x: x.cast("double"))
+    seen = F.array(F.lit(3), F.lit(5), (F.col("vec_id") % 64).cast("int"))
+    p = table(spark, d, "embeddings").select("vec_id", X.next_token(logits, 0.7, 0.9, 1.3, seen).alias("p"))
+    both = p.join(p.select((F.col("vec_id") - 1).alias("vec_id"), F.col("p").alias("q")), "vec_id")
+    return both.select("vec_id", F.round(X.acceptance_rate("p", "q"), 6).alias("rate"), F.size(F.filter("p", lambda x: x > 0)).cast("long").alias("n_kept"))
+
+
+@register("SELECT l_orderkey, l_linenumber, round(l_quantity * l_linenumber * 8 / l_extendedprice, 9) AS tps FROM lineitem")
+def throughput(spark, d):
+    rows = table(spark, d, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", F.round(X.throughput("l_quantity", "l_linenumber", 8, "l_extendedprice"), 9).alias("tps"))
+
+
 @register(PAIRS.format(t="1.0") + ", l AS (SELECT vec_id, list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i] * ln(p[i] / q[i]))) AS kl FROM k) SELECT vec_id, round(kl, 6) AS kl, round(0.7 * 2 + 0.3 * kl, 6) AS loss FROM l")
 def kl_loss(spark, d):
     rows = _pairs(spark, d, 1.0).withColumn("kl", X.kl_divergence("p", "q"))
     return rows.select("vec_id", F.round("kl", 6).alias("kl"), F.round(X.mixed_loss(F.lit(2.0), "kl", 0.3), 6).alias("loss"))
 
 
-@register("SELECT vec_id, round(list_sum(list_transform(embedding[9:16] || embedding[49:56], lambda x: CAST(x AS DOUBLE))), 6) AS total, CAST(16 AS BIGINT) AS n FROM embeddings")
+@register("""WITH r AS (SELECT vec_id, unnest(range(4)) AS k FROM embeddings)
+SELECT vec_id, k, array_to_string(range(8 * k, 8 * k + 8) || range(56 - 8 * k, 64 - 8 * k), ',') AS zigzag, array_to_string(range(16 * k, 16 * k + 16), ',') AS local, array_to_string(range(k, 64, 4), ',') AS stripe FROM r""")
 def zigzag_split(spark, d):
-    part = X.zigzag("embedding", 1, 4)
-    return table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(part, F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"), F.size(part).cast("long").alias("n"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda _, i: i).alias("at"))
+    text = lambda a: F.array_join(a.cast("array<string>"), ",")
+    ranks = F.array(*(F.struct(F.lit(k).cast("long").alias("k"), text(X.zigzag("at", k, 4)).alias("zigzag"), text(X.local_part("at", k, 4)).alias("local"), text(X.stripe("at", k, 4)).alias("stripe")) for k in range(4)))
+    return rows.select("vec_id", F.inline(ranks))
 
 
 @register("SELECT vec_id, round(1 / (1 + exp(CAST(embedding[1] AS DOUBLE) - CAST(embedding[2] AS DOUBLE))), 9) AS p FROM embeddings")
@@ -527,14 +640,208 @@ def softmax_score(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(X.softmax_second(e(0), e(1)), 9).alias("p"))
 
 
+# --- projections, validation, run counts ---
+
+
+@register("SELECT doc_id, source, upper(lang) AS pred FROM documents")
+def computed_columns(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "source", F.col("lang").alias("image"))
+    return mix.add_computed(rows, {"source": F.lit("computed"), "pred": F.upper("image")})
+
+
+@register("SELECT doc_id, lang FROM documents")
+def kept_columns(spark, d):
+    return mix.keep_columns(table(spark, d, "documents"), ["lang", "doc_id", "no such column"])
+
+
+@register("SELECT doc_id, 'clip.' || doc_id AS id, 'clip' AS stem, 'cat' || doc_id % 3 AS category FROM documents")
+def path_parts(spark, d):
+    path = F.concat(F.lit("/data/cat"), (F.col("doc_id") % 3).cast("string"), F.lit("/clip."), F.col("doc_id").cast("string"), F.lit(".mp4"))
+    return table(spark, d, "documents").select("doc_id", X.path_id(path).alias("id"), X.path_id(path, first_dot=True).alias("stem"), X.path_category(path).alias("category"))
+
+
+@register("SELECT doc_id, quality FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL")
+def required_fields(spark, d):
+    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    return mix.complete(rows, ["quality", "toxic"]).select("doc_id", "quality")
+
+
+@register("SELECT doc_id, n_chars FROM documents WHERE n_chars >= 0")
+def length_guard(spark, d):
+    return mix.guard(table(spark, d, "documents").select("doc_id", "n_chars"), F.col("n_chars") < 10**9, "a text is too long", "n_chars")
+
+
+@register("SELECT count(*) AS total, count(quality) AS processed, count(*) - count(quality) AS remaining, count(*) FILTER (WHERE quality = 1) AS successes FROM documents LEFT JOIN labels USING (doc_id)")
+def run_counts(spark, d):
+    return evaluate.run_counts(table(spark, d, "documents"), table(spark, d, "labels"), ["doc_id"], F.col("quality") == 1)
+
+
+@register("SELECT o_orderkey FROM orders")
+def balanced(spark, d):
+    return mix.balanced(table(spark, d, "orders").select("o_orderkey"), 16)
+
+
 # --- annotation ---
 
+WORDS_OF = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
 
-@register("SELECT doc_id, lower(text) LIKE '%ing%' AS is_biomedical, array_to_string(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''), ' ') AS cleaned_caption FROM documents")
+@register(f"SELECT doc_id, lower(text) LIKE '%ing%' AS is_biomedical, array_to_string({WORDS_OF.format('text')}, ' ') AS cleaned_caption, lower(text) LIKE '%ing%' AS flag, array_to_string({WORDS_OF.format('text')}, ' ') AS squeezed FROM documents")
 def annotate_captions(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("caption"))
-    rows = annotate.annotate(rows, annotate.keyword_relevance(("ing",)))
-    return annotate.annotate(rows, annotate.whitespace_cleaner()).select("doc_id", "is_biomedical", "cleaned_caption")
+    rows = annotate.annotate(annotate.annotate(rows, annotate.keyword_relevance(("ing",))), annotate.whitespace_cleaner())
+    return rows.select("doc_id", "is_biomedical", "cleaned_caption", annotate.keyword_flag("caption", ("ing",)).alias("flag"), annotate.squeezed("caption").alias("squeezed"))
+
+
+PHRASES = (
+    ("An echocardiogram of the heart", "Echocardiography", "Cardiac"), ("CT of the chest", "CT Imaging", "Thoracic and Respiratory System"), ("A brain MRI", "MRI", "Cranial and Nervous System"),
+    ("Laparoscopic view of the liver", "Endoscopy and Laparoscopic Surgery", "Gastrointestinal System"), ("Nothing known", "Other", "Other"), ("Skin under the microscope", "Microscopy", "Skin and Integumentary System"),
+)
+
+
+@register("SELECT doc_id, CASE " + " ".join(f"WHEN doc_id % 7 = {i} THEN '{m}'" for i, (_, m, _) in enumerate(PHRASES)) + " END AS modality, CASE " + " ".join(f"WHEN doc_id % 7 = {i} THEN '{r}'" for i, (_, _, r) in enumerate(PHRASES)) + " END AS anatomical_region FROM documents WHERE doc_id % 7 < 6")
+def annotate_metadata(spark, d):
+    """The seventh caption is null, so its row fails and goes."""
+    captions = F.array(*(F.lit(x) for x, _, _ in PHRASES), F.lit(None).cast("string"))
+    rows = table(spark, d, "documents").select("doc_id", F.get(captions, (F.col("doc_id") % 7).cast("int")).alias("caption"))
+    return annotate.annotate(rows, annotate.keyword_metadata()).select("doc_id", "modality", "anatomical_region")
+
+
+@register(f"""WITH w AS (SELECT doc_id, {WORDS_OF.format('text')} AS w FROM documents), l AS (SELECT doc_id, w, w[list_position(list_transform(w, lambda x: length(x)), list_max(list_transform(w, lambda x: length(x))))] AS longest FROM w WHERE len(w) > 0)
+SELECT doc_id, md5(array_to_string(list_transform(w, lambda x: CASE WHEN x = longest THEN '___' ELSE x END), ' ')) AS question, 'A' AS correct_option, longest AS correct_answer FROM l""")
+def annotate_questions(spark, d):
+    rows = annotate.annotate(table(spark, d, "documents").select("doc_id", "text"), annotate.cloze_questions("text"))
+    return rows.select("doc_id", F.inline("qa_pairs")).select("doc_id", F.md5("question").alias("question"), "correct_option", "correct_answer")
+
+
+@register("SELECT doc_id, source AS prompt, upper(source) AS pred, 'own' AS model_id FROM documents")
+def generated_answers(spark, d):
+    """The row's own model_id wins over the computed one."""
+    rows = table(spark, d, "documents").select("doc_id", "source", F.lit("own").alias("model_id"))
+    out = annotate.generate_answers(rows, "source", lambda: lambda asked: [f"user\n{x}\nassistant\n {x.upper()} <|im_end|>\n" for x in asked], "stub")
+    return out.select("doc_id", "prompt", "pred", "model_id")
+
+
+@register("SELECT conv_id, turn, octet_length(encode(text)) / 1000 AS p FROM conversations")
+def scored_frames(spark, d):
+    frames = table(spark, d, "conversations").select("conv_id", "turn", F.encode("text", "UTF-8").alias("content"))
+    return annotate.score_frames(frames, lambda: lambda batch: [len(x) / 1000 for x in batch], 5)
+
+
+@register(f"""WITH c AS (SELECT conv_id * 1000 + turn AS video_id, {WORDS_OF.format('text')} AS w FROM conversations WHERE octet_length(encode(text)) % 7 <> 0)
+SELECT video_id, CAST(unnest(range(len(w))) AS INT) AS pos, unnest(w) AS text, unnest(list_transform(range(len(w)), lambda i: i / 2)) AS ws, unnest(list_transform(range(len(w)), lambda i: CASE WHEN i % 3 = 0 THEN NULL ELSE i / 2 + 0.25 END)) AS we FROM c""")
+def transcripts(spark, d):
+    """A batch with a text of a length that 7 divides fails; alone, such a text has no words."""
+
+    def load():
+        def model(batch):
+            if any(len(x) % 7 == 0 for x in batch):
+                raise ValueError("can't hear this")
+            return [[(w, i / 2, None if i % 3 == 0 else i / 2 + 0.25) for i, w in enumerate(bytes(x).decode().split())] for x in batch]
+
+        return model
+
+    audio = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("video_id"), F.encode("text", "UTF-8").alias("content"))
+    return annotate.transcribe(audio, load)
+
+
+# --- sources and sinks, by way of the shared folder ---
+
+
+def _folder(spark, name: str) -> str:
+    return f"{store.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register("SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_nationkey END AS c_nationkey FROM customer")
+def jsonl_round_trip(spark, d):
+    rows, path = table(spark, d, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 3 != 0, F.col("c_nationkey")).alias("c_nationkey")), _folder(spark, "jsonl")
+    store.overwrite_jsonl(rows.limit(3), path)
+    store.overwrite_jsonl(rows.filter("c_custkey % 2 = 0"), path)
+    store.append_jsonl(rows.filter("c_custkey % 2 = 1"), path)
+    return store.read_jsonl(spark, path, rows.schema)
+
+
+@register("SELECT c_custkey, (SELECT count(*) FROM customer WHERE c_custkey % 5 IN (1, 2)) AS n_bad FROM customer WHERE c_custkey % 5 NOT IN (1, 2)")
+def jsonl_tolerant(spark, d):
+    key, path = F.col("c_custkey"), _folder(spark, "lines")
+    line = F.when(key % 5 == 1, "null").when(key % 5 == 2, '{"c_custkey": ').otherwise(F.concat(F.lit('{"c_custkey": '), key.cast("string"), F.lit("}")))
+    table(spark, d, "customer").select(line.alias("value")).write.text(path)
+    bad = store.count_bad_lines(spark, path, "c_custkey long")
+    return store.read_jsonl(spark, path, "c_custkey long", strict=False).withColumn("n_bad", F.lit(bad).cast("long"))
+
+
+@register("SELECT s_suppkey, s_name, 'parquet' AS kind FROM supplier UNION ALL SELECT s_suppkey, s_name, 'csv' FROM supplier UNION ALL SELECT s_suppkey, s_name, 'json' FROM supplier UNION ALL SELECT s_suppkey, s_name, 'name' FROM supplier")
+def datasets_by_kind(spark, d):
+    rows, path = table(spark, d, "supplier").select("s_suppkey", "s_name"), _folder(spark, "dataset")
+    store.save_dataset(rows, f"{path}/train", rows_per_file=50)
+    rows.write.option("header", True).csv(f"{path}.csv")
+    rows.write.json(f"{path}.jsonl")
+    rows.createOrReplaceTempView("lathework_suppliers")
+    schema = "s_suppkey long, s_name string"
+    found = {"parquet": store.load_dataset(spark, path), "csv": store.load_dataset(spark, f"{path}.csv", schema=schema), "json": store.load_dataset(spark, f"{path}.jsonl", schema=schema), "name": store.load_dataset(spark, "hub/suppliers", registry={"hub/suppliers": "lathework_suppliers"})}
+    return reduce(DataFrame.unionByName, [df.select("s_suppkey", "s_name", F.lit(k).alias("kind")) for k, df in found.items()])
+
+
+def _score_files(spark, d) -> str:
+    """Score arrays in a folder: the events of each user, half a second apart."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")) - 1
+    rows = _events(spark, d).select(F.concat(F.lit("cat"), (F.col("user_id") % 3).cast("string")).alias("category"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("video_id"), (place / 2).alias("t"), F.col("value").alias("p"))
+    path = _folder(spark, "scores")
+    store.save_score_arrays(rows, path).collect()  # a row for each file written
+    return path
+
+
+SCORES = "SELECT 'cat' || user_id % 3 AS category, 'u' || user_id AS video_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS frame_idx, value FROM events"
+
+
+@register(f"SELECT category, video_id, frame_idx, CAST(frame_idx / 2 AS FLOAT) AS t, CAST(value AS FLOAT) AS p FROM ({SCORES})")
+def score_arrays(spark, d):
+    return store.read_scores(spark, _score_files(spark, d))
+
+
+@register("SELECT 'cat' || user_id % 3 AS category, 'u' || user_id AS video_id, CASE WHEN user_id % 4 <> 0 THEN count(*) END AS n_frames, CASE WHEN user_id % 4 <> 0 THEN CAST(2.0 AS DOUBLE) END AS fps FROM events WHERE user_id % 5 <> 0 GROUP BY user_id")
+def media_of_files(spark, d):
+    """Files listed, looked for, read by their paths and decoded; the decoder fails on every fourth."""
+    listing = store.list_files(spark, _score_files(spark, d), "*.npy")
+    user = F.substring("video_id", 2, 20).cast("long")
+    wanted = listing.filter(user % 5 != 0).select("category", "video_id", "path").unionByName(listing.limit(1).select("category", "video_id", F.lit("/no/such/file.npy").alias("path")))
+
+    def decode(content):
+        import io
+
+        import numpy as np
+
+        scores = np.load(io.BytesIO(content))
+        return len(scores), 2.0, 0, 0
+
+    files = store.media_bytes(store.media_exists(wanted, listing))
+    files = files.withColumn("content", F.when(user % 4 == 0, F.encode(F.lit("no media"), "UTF-8")).otherwise(F.col("content")))
+    return store.decode_media(files, decode).select("category", "video_id", "n_frames", "fps")
+
+
+@register("SELECT 'u' || user_id AS video_id, CASE WHEN user_id % 2 = 0 THEN 'Skipped' ELSE 'Success' END AS status FROM events GROUP BY user_id")
+def copied_files(spark, d):
+    listing, target = store.list_files(spark, _score_files(spark, d), "*.npy"), _folder(spark, "copies")
+    even = F.substring("video_id", 2, 20).cast("long") % 2 == 0
+    store.copy_new(listing.filter(even), target).collect()  # a status for each file
+    done = store.write_table(store.copy_new(listing, target), "copied")
+    return done.select(X.path_id("path", first_dot=True).alias("video_id"), "status")
+
+
+@register("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'Error: no clip ' || s_suppkey ELSE 'Success' END AS status FROM supplier")
+def action_status(spark, d):
+    def act(row):
+        if row["s_suppkey"] % 3 == 0:
+            raise ValueError(f"no clip {row['s_suppkey']}")
+
+    return store.run_side_effect(table(spark, d, "supplier"), act, "s_suppkey")
+
+
+@register("SELECT count(*) AS n, round(avg(c_acctbal), 6) AS mean FROM customer")
+def metric_document(spark, d):
+    path = _folder(spark, "metric")
+    store.save_metric(table(spark, d, "customer").agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 6).alias("mean")), path)
+    return store.read_jsonl(spark, path, "n long, mean double")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
