@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from lathework.llm.common import Shared, mix64, write_table
 
@@ -41,6 +42,8 @@ class LangConfig:
     slots_log2: int = 21
     sample_rows: int = 1500
     least_docs: int = 2
+    #: More labels than this are taken for an error, as a row for each reaches the driver and every mask holds a bit for it.
+    most_languages: int = 4096
 
 
 def _letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +58,10 @@ def _letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len("" if t is None else t.lower()) + 1 for t in texts])
     bounds = np.r_[0, np.cumsum(lengths)]
     keep = letter | np.r_[True, letter[:-1]]
+    # A text's end is its last gap: one that opens before it in the same run of other characters goes.
+    gaps, places = np.flatnonzero(keep & ~letter), np.flatnonzero(letter)
+    follows = np.r_[places, len(points)][np.searchsorted(places, gaps)]
+    keep[gaps[np.searchsorted(bounds, follows) > np.searchsorted(bounds, gaps)]] = False
     keep[bounds] = True
     at = np.r_[0, np.cumsum(keep)]
     return np.where(letter, points, 32)[keep].astype(U), at[bounds]
@@ -108,7 +115,9 @@ def held_out(doc_id: Column) -> Column:
 def train(labelled: DataFrame, cfg: LangConfig = LangConfig()) -> LangModel:
     """labelled: doc_id, text, lang."""
     rows = labelled.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(cfg.most_languages + 1).collect()}
+    if len(sizes) > cfg.most_languages:
+        raise ValueError(f"more than {cfg.most_languages} languages are named")
     languages = sorted(sizes)
     if not languages:
         return LangModel([], np.zeros((1, 1), U), np.zeros(0))
@@ -145,14 +154,20 @@ def train(labelled: DataFrame, cfg: LangConfig = LangConfig()) -> LangModel:
 
 def predict(docs: DataFrame, model: LangModel, cfg: LangConfig = LangConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every row."""
-    shared = Shared(docs.sparkSession, model)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return labelled(rows, model, cfg, "text", ("doc_id",)).withColumnsRenamed({"__lang": "lang_pred", "__score": "score"})
+
+
+def labelled(docs: DataFrame, model: LangModel, cfg: LangConfig = LangConfig(), text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The columns to keep (all, if not given), __lang and __score of every row; a text is sent to Python once."""
+    keep = tuple(docs.columns) if keep is None else keep
+    shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.get()
         names = np.array([*m.languages, "und"], object)
         for batch in batches:
-            for start, texts in _runs(batch.column(1).to_pylist()):
+            for start, texts in _runs(batch.column(text).to_pylist()):
                 evidence = np.zeros((len(texts), len(m.languages)))
                 for h, counts in grams(texts, cfg.sizes) if m.languages else ():
                     ends = np.r_[0, np.cumsum(counts)]
@@ -169,9 +184,11 @@ def predict(docs: DataFrame, model: LangModel, cfg: LangConfig = LangConfig(), d
                 best = np.where(known, evidence.argmax(axis=1) if m.languages else 0, len(m.languages))
                 total = evidence.sum(axis=1)
                 score = np.where(known & (total > 0), evidence.max(axis=1, initial=0.0) / np.where(total > 0, total, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+                own = [batch.column(c).slice(start, len(texts)) for c in keep]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*keep, "__lang", "__score"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    rows = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])))
+    return rows.mapInArrow(run, StructType([*(docs.schema[c] for c in keep), StructField("__lang", StringType()), StructField("__score", DoubleType())]))
 
 
 def _corrected(hits: np.ndarray, n: np.ndarray, chance: np.ndarray) -> np.ndarray:
