@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lathework.sources.store import shared_folder
+
 #: A-Z to a-z and nothing else, for `bytes.translate`.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 UPPER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -19,22 +21,11 @@ UPPER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SLICE_BYTES = 2 << 20
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset in local mode."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_before.isDefined():
-        return set_before.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lathework-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _kept:
+        paths.append(path)
+    return path
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
@@ -45,6 +36,23 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: list[list[str]] = []
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables and files written inside go at the end; what is to stay must be written outside by then."""
+    paths: list[str] = []
+    _kept.append(paths)
+    try:
+        yield
+    finally:
+        _kept.remove(paths)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 class Shared:
     """A broadcast of any object, with its class by value, as workers need not have this package. Callers bound its size."""
 

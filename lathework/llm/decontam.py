@@ -106,22 +106,22 @@ class TestSuffixes:
 MATCH = StructType([StructField("start", LongType()), StructField("item_id", StringType()), StructField("item_start", LongType()), StructField("length", LongType())])
 
 
-def _block(rows: DataFrame, items: list[tuple[str, str | None]], cfg: DecontamConfig, hits_only: bool = False) -> DataFrame:
-    """The columns of rows but the last, which is the text, with n_words and matches against one block of items."""
+def _block(rows: DataFrame, items: list[tuple[str, str | None]], cfg: DecontamConfig, text: str, keep: list[str], hits_only: bool = False) -> DataFrame:
+    """The columns to keep, with __n_words and __matches of the text against one block of items."""
     shared = Shared(rows.sparkSession, TestSuffixes(items, cfg.window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = shared.get()
         names = pa.array(test.names, pa.string())
         for batch in batches:
-            for start, own in slices(batch.column(batch.num_columns - 1).to_pylist()):
+            for start, own in slices(batch.column(text).to_pylist()):
                 sizes, found = test.matches(own)
                 structs = pa.StructArray.from_arrays([pa.array(found[:, 1]), names.take(pa.array(found[:, 2])), pa.array(found[:, 3]), pa.array(found[:, 4])], names=["start", "item_id", "item_start", "length"])
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(found[:, 0], np.arange(len(own) + 1)).astype(np.int32)), structs)
-                out = pa.RecordBatch.from_arrays([*(c.slice(start, len(own)) for c in batch.columns[:-1]), pa.array(sizes), lists], names=[*batch.schema.names[:-1], "n_words", "matches"])
+                out = pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, len(own)) for c in keep), pa.array(sizes), lists], names=[*keep, "__n_words", "__matches"])
                 yield out.take(pa.array(np.unique(found[:, 0]))) if hits_only else out
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("n_words", LongType()), StructField("matches", ArrayType(MATCH))]))
+    return rows.mapInArrow(run, StructType([*(rows.schema[c] for c in keep), StructField("__n_words", LongType()), StructField("__matches", ArrayType(MATCH))]))
 
 
 def _blocks(benchmark: DataFrame, cfg: DecontamConfig) -> tuple[int, Callable[[int], list[tuple[str, str | None]]]]:
@@ -136,15 +136,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = Deconta
     """doc_id, n_words and the longest verbatim matches (start, item_id, item_start, length) of every document."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     blocks, items = _blocks(benchmark, cfg)
+    if blocks > 1:
+        rows = write_table(rows.select(F.monotonically_increasing_id().alias("seq"), "doc_id", "text"), "decontam-rows")
+    whole = _block(rows, items(0), cfg, "text", [c for c in rows.columns if c != "text"]).withColumnsRenamed({"__n_words": "n_words", "__matches": "matches"})
     if blocks == 1:
-        return _block(rows, items(0), cfg)
-    rows = write_table(rows.select(F.monotonically_increasing_id().alias("seq"), "doc_id", "text"), "decontam-rows")
-    whole = write_table(_block(rows, items(0), cfg), "decontam-block")
-    rest = None
+        return whole
+    whole, rest = write_table(whole, "decontam-block"), None
     for b in range(1, blocks):
-        part = write_table(_block(rows.select("seq", "text"), items(b), cfg, hits_only=True), "decontam-block").select("seq", "matches")
+        part = write_table(_block(rows, items(b), cfg, "text", ["seq"], hits_only=True).select("seq", "__matches"), "decontam-block")
         rest = part if rest is None else rest.unionByName(part)
-    rest = rest.groupBy("seq").agg(F.flatten(F.collect_list("matches")).alias("more"))
+    rest = rest.groupBy("seq").agg(F.flatten(F.collect_list("__matches")).alias("more"))
     return whole.join(rest, "seq", "left").select("doc_id", "n_words", F.when(F.col("more").isNull(), F.col("matches")).otherwise(F.concat("matches", "more")).alias("matches"))
 
 
@@ -161,8 +162,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig =
     """The rows without a match, all columns kept; each row goes by its own matches, whatever its doc_id. Nothing is shuffled."""
     blocks, items = _blocks(benchmark, cfg)
     for b in range(blocks):
-        rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("__text"))
-        docs = _block(rows, items(b), cfg).filter(F.size("matches") == 0).select("row.*")
+        docs = _block(docs, items(b), cfg, "text", docs.columns).filter(F.size("__matches") == 0).drop("__n_words", "__matches")
         if b + 1 < blocks:
             docs = write_table(docs, "decontam-clean")
     return docs

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from lathework.llm.common import mix64, slices, write_table
 from lathework.llm.components import connected_components
@@ -95,18 +96,18 @@ def _sample(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return low
 
 
-FEATURES = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
+FEATURES = StructType([StructField("n_shingles", LongType()), StructField("digest", BinaryType()), StructField("bands", ArrayType(LongType())), StructField("sketch", ArrayType(LongType()))])
 
 
-def features(docs: DataFrame, cfg: MinHashConfig, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: set size and digest, band keys and odd sketch."""
+def features(docs: DataFrame, cfg: MinHashConfig, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: the id and columns carried along, set size and digest, band keys and odd sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, factors = _constants(cfg)
         salt = mix64(np.arange(1, len(factors) + 1, dtype=np.uint64))
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for start, run_ in slices(texts):
+            *own, texts = batch.columns
+            for start, run_ in slices(texts.to_pylist()):
                 rows = []
                 for s in shingle_sets(run_, cfg.shingle, letters):
                     if not len(s):
@@ -121,11 +122,12 @@ def features(docs: DataFrame, cfg: MinHashConfig, doc_id: str = "doc_id", text:
                     rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), keys.view(np.int64), bits))
                 n, digest, bands, sketch = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(start, len(rows)), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
+                    [*(c.slice(start, len(rows)) for c in own), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
+                    names=["doc_id", *carry, *FEATURES.names],
                 )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, FEATURES)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *carry, F.col(text).cast("string").alias("__text"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], *FEATURES.fields]))
 
 
 def _estimate(left: str, right: str, cfg: MinHashConfig):
@@ -186,9 +188,11 @@ def _cross_pairs(members: DataFrame, cfg: MinHashConfig) -> DataFrame:
     compared with all others, those inside it with these only. Either part is cut into blocks by a hash; a task holds two.
     """
     floor, near = cfg.percent / 100.0 - cfg.slack, cfg.percent / 100.0 - 0.005
-    inside = F.col("component") == F.col("main")
+    # Where all fit one block, they are compared there: there is no main part then.
+    members = members.withColumn("whole", F.col("n_main") + F.col("n_rest") <= cfg.block)
+    inside = (F.col("component") == F.col("main")) & ~F.col("whole")
     cuts = [F.greatest(F.ceil(F.col(c) / cfg.block), F.lit(1)).cast("int") for c in ("n_main", "n_rest")]
-    cells = members.withColumn("cut_main", cuts[0]).withColumn("cut_rest", cuts[1]).withColumn("inside", inside)
+    cells = members.withColumn("cut_main", F.when(F.col("whole"), 0).otherwise(cuts[0])).withColumn("cut_rest", cuts[1]).withColumn("inside", inside)
     cells = cells.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(inside, F.col("cut_main")).otherwise(F.col("cut_rest"))).cast("int"))
     # Blocks of the main part have numbers from cut_rest on.
     own = F.when(F.col("inside"), F.col("own") + F.col("cut_rest")).otherwise(F.col("own"))
@@ -225,9 +229,9 @@ def _cross_pairs(members: DataFrame, cfg: MinHashConfig) -> DataFrame:
     return cells.groupBy("hub", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, for every row of docs."""
-    rows = write_table(features(docs, cfg, doc_id, text), "minhash-rows")
+def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept and the columns carried along, for every row of docs."""
+    rows = write_table(features(docs, cfg, doc_id, text, carry), "minhash-rows")
     known = rows.filter("digest is not null and doc_id is not null")
     reps = write_table(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "minhash-reps")
     keyed = reps.select("rep", F.explode("bands").alias("key"))
@@ -257,9 +261,12 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), doc_i
 
     named = reps.select("digest", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     named = write_table(named, "minhash-named")
-    out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    plain = rows.select("doc_id", "n_shingles", "digest", *carry)
+    out = plain.filter("digest is not null").join(named, "digest", "left")
+    # Texts without a shingle link with nothing; they don't meet in one task by their null digest.
+    out = out.unionByName(plain.filter("digest is null").withColumn("component", F.lit(None).cast("long")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *carry)
 
 
 def _narrowed(texts: DataFrame, ids: DataFrame, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import time
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lathework.llm import chat, hnsw, html_extract, warc
+from lathework.llm.common import shared_folder
 
 
 @pytest.fixture(scope="module")
@@ -249,12 +251,23 @@ def test_pipeline(spark, tmp_path):
     texts[32], texts[33] = f"{make(50)}\n{passage}\n{make(40)}", f"{make(50)}\n{passage}"  # a repeated passage
     texts[34] = make(30) + " " + item + " " + make(30)
     texts[35], texts[36] = None, "123 ..."
-    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    texts[37] = make(30_000)  # a long text
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in texts.items()]
+    alone = make(70)
+    rows += [(5, texts[5], "en", "s", 0), (None, alone, None, None, None), (None, alone, "en", "s", 0), (None, texts[6], "en", "s", 0), (None, None, None, None, None), (3, make(90), "en", "s", 0), (30, make(75), "en", "s", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"score": F.lit(1), "kept": F.lit("x"), "__sum": F.lit(2.0)})
     frame.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert sorted(got) == [*range(1, 30), 32, 33]
+    before = set(os.listdir(shared_folder(spark).removeprefix("file:")))
+    rows_got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left_over = set(os.listdir(shared_folder(spark).removeprefix("file:"))) - before
+    assert sorted(x.split("-")[1] for x in left_over) == sorted(name for name, _ in corpus_pipeline.STAGES)
+    # Of the two rows with id 3, and with id 30, each is judged by its own text; of the three without an id and with two texts, one of each text stays,
+    # and the one that repeats document 6 loses its lines to it.
+    assert sorted(str(r["doc_id"]) for r in rows_got) == sorted(map(str, [*range(1, 30), 3, 30, 32, 33, 37, None, None]))
+    got = {r["doc_id"]: r for r in rows_got if r["doc_id"] not in (None, 3, 30)}
     library = Tokenizer.from_file(tokenizer_path())
+    assert sorted(r["ids"] for r in rows_got if r["doc_id"] is None) == [[], library.encode(alone, add_special_tokens=False).ids]
     for i, r in got.items():
         left = texts[33].split("\n")[0] if i == 33 else texts[i]
         assert r["ids"] == library.encode(left, add_special_tokens=False).ids and r["decoded"] == library.decode(r["ids"], skip_special_tokens=False)

@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -107,6 +108,38 @@ def test_license_places(spark):
     assert license_scan.summary(license_scan.license_scan(docs(spark, []))).count() == 0
 
 
+def test_whole_notices_and_long_texts(spark):
+    long = "lorem ipsum " * 100_000 + "Under the MIT license " + "dolor " * 50_000
+    texts = [f"// Copyright\n * {t.notice.upper()}\n int main()" for t in license_scan.LIBRARY] + [long]
+    got = {r["doc_id"]: r for r in license_scan.summary(license_scan.license_scan(docs(spark, texts))).collect()}
+    for i, t in enumerate(license_scan.LIBRARY):
+        assert t.label in got[i]["labels"].split(",") and got[i]["score"] == 1.0, t
+    assert (got[len(texts) - 1]["first_word"], got[len(texts) - 1]["n_words"], got[len(texts) - 1]["base_labels"]) == (200_000, 250_004, "mit")
+
+
+def test_any_library_matches_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(9)]
+    library = []
+    for i in range(30):
+        notice = [rng.choice(vocabulary) for _ in range(rng.randint(1, 9))]
+        a = rng.randrange(len(notice))
+        library.append(license_scan.Template(f"t{i % 25}", " ".join(notice), " ".join(notice[a : rng.randint(a + 1, len(notice))]), i % 4 == 0))
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 25))) for _ in range(60)]
+    got = {r["doc_id"]: sorted((p["label"], p["base"], p["start"], p["score"]) for p in r["places"]) for r in license_scan.license_scan(docs(spark, texts), tuple(library)).collect()}
+    some = 0
+    for i, text in enumerate(texts):
+        w, want = text.split(), []
+        for t in library:
+            for s in range(len(w) - len(t.key) + 1):
+                if w[s : s + len(t.key)] == t.key:
+                    same = [0 <= s - t.before + j < len(w) and w[s - t.before + j] == x for j, x in enumerate(t.words)]
+                    want.append((t.label, t.base, s, sum(same) / len(same)))
+        assert got[i] == sorted(want)
+        some += len(want)
+    assert some > 300
+
+
 def test_bpe_is_the_library(spark):
     from tokenizers import Tokenizer
 
@@ -242,6 +275,14 @@ def test_decontamination(spark, block_bytes):
     assert decontam.summary(decontam.matches(docs(spark, texts), bench.limit(0))).filter("contaminated").count() == 0
 
 
+def test_long_texts_are_searched_whole(spark):
+    item = " ".join(f"i{n}" for n in range(25))
+    texts = ["x y " * 300_000 + item + " end", "x y " * 300_000]
+    bench = spark.createDataFrame([(7, item), (8, "x " * 9 + "y")], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.summary(decontam.matches(docs(spark, texts), bench)).collect()}
+    assert (got[0]["n_words"], got[0]["n_hit"], got[0]["n_items"]) == (600_026, 25, 1) and not got[1]["contaminated"]
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 20])
 def test_rows_are_decontaminated_by_their_own_text(spark, block_bytes):
     bench = spark.createDataFrame([(1, "zz zz"), (2, "yy yy yy yy"), (3, "vv ww vv ww")], "item_id long, text string")
@@ -268,6 +309,66 @@ def test_language(spark):
     assert langid.language_id(frame.limit(0)).count() == 0
 
 
+def text_grams(text, sizes):
+    """n-grams by plain slicing: lower case, each run of other characters one gap, a gap at both ends."""
+    flat = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " "
+    flat = re.sub(" +", " ", flat)
+    return [flat[i : i + n] for n in sizes for i in range(len(flat) - n + 1)]
+
+
+def test_language_scores_are_those_of_exact_sets(spark):
+    rng = random.Random(14)
+    kinds = {"aa": "tha ing ou er".split(), "bb": "sch ing zu er".split(), "cc": "ção ñe ou lla".split()}
+    make = lambda k, n: " ".join("".join(rng.choice(kinds[k]) for _ in range(rng.randint(1, 3))) + rng.choice(["", ",", ". ", " 7"]) for _ in range(n))
+    rows = [(i, make(k, rng.randint(3, 25)).title(), k) for i, k in enumerate(rng.choices(list(kinds), k=240))]
+    rows += [(900, make("aa", 20) + " " + make("bb", 20), None), (901, "", None), (902, "éé qq", None), (903, make("cc", 60_000), None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    cfg = langid.LangConfig(slots_log2=20)
+    held = {r["doc_id"] for r in frame.filter(langid.held_out(F.col("doc_id"))).collect()}
+    model = langid.train(frame.filter(~langid.held_out(F.col("doc_id"))), cfg)
+    known = []
+    for lang in sorted(kinds):
+        times = defaultdict(int)
+        for i, t, k in rows:
+            if k == lang and i not in held:
+                for g in set(text_grams(t, cfg.sizes)):
+                    times[g] += 1
+        known.append({g for g, n in times.items() if n >= cfg.least_docs})
+    assert model.languages == sorted(kinds) and all(0 < c < 1e-3 for c in model.chance)
+    got = {r["doc_id"]: r for r in langid.language_id(frame, cfg).collect()}
+    off = []
+    for i, t, _ in rows:
+        evidence = np.zeros(3)
+        for n in cfg.sizes:
+            own = text_grams(t, (n,))
+            hits = np.array([sum(g in k for g in own) for k in known])
+            evidence += np.maximum(0, (hits - len(own) * model.chance) / (1 - model.chance))
+        assert got[i]["held_out"] == (i in held)
+        if not any(map(str.isalpha, t)):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
+        else:
+            assert got[i]["lang_pred"] == model.languages[evidence.argmax()]
+            off.append(abs(got[i]["score"] - (evidence.max() / evidence.sum() if evidence.sum() else 0)))
+    # A false positive of the filter is one hit in some hundreds of n-grams, in a few texts.
+    assert max(off) < 0.05 and sum(x > 1e-3 for x in off) <= 0.05 * len(off)
+    # Every n-gram a language holds is found in its bit.
+    text = rows[0][1]
+    for h, counts in langid.grams([text], cfg.sizes):
+        masks = model.masks[langid._slot(h, 0, cfg.slots_log2), 0] & model.masks[langid._slot(h, 1, cfg.slots_log2), 0]
+        n = cfg.sizes[0] if counts[0] == len(text_grams(text, cfg.sizes[:1])) else cfg.sizes[1]
+        for g, mask in zip(text_grams(text, (n,)), masks.tolist()):
+            assert all(mask >> i & 1 for i in range(3) if g in known[i])
+
+
+def test_language_ties_and_too_many_labels(spark):
+    rows = [(i, "the same words for both", "zz" if i % 2 else "aa") for i in range(40)] + [(100, "the same words", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tie = [r for r in langid.language_id(frame, langid.LangConfig(slots_log2=16)).collect() if r["doc_id"] == 100][0]
+    assert tie["lang_pred"] == "aa" and tie["score"] == pytest.approx(0.5, abs=0.01)
+    with pytest.raises(ValueError, match="more than 1 lang"):
+        langid.language_id(frame, langid.LangConfig(most_languages=1))
+
+
 def test_texts_of_no_known_language_go(spark):
     rows = [(i, f"the quick brown fox number {i}" if i % 2 else f"der schnelle braune Fuchs {i}", "en" if i % 2 else "de") for i in range(80)]
     rows += [(100, "漢字仮名交", None), (101, None, "en"), (102, "12 !!", "en")]
