@@ -10,26 +10,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathework.llm import bpe, decontam, langid, line_dedup
-from lathework.llm.common import write_table
+from lathework.llm.common import new_path, passing_tables
 from lathework.llm.minhash import MinHashConfig, near_duplicates
 from lathework.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts, those without a letter or any known n-gram (score 0). The prediction becomes lang."""
+    """Documents without a language go: null texts, those without a letter or any known n-gram (score 0). The prediction becomes lang.
+
+    Each row is judged by its own text, whatever its doc_id, so repeated rows stay or go alike; null labels teach nothing;
+    whole texts are read; an empty table stays empty.
+    """
     model = langid.train(docs.filter(~F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False))))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("__text"))
-    found = langid.predict(rows, model, doc_id="row", text="__text").filter((F.col("lang_pred") != "und") & (F.col("score") > 0))
-    kept = found.select("doc_id.*", "lang_pred")
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    found = langid.labelled(docs, model).filter((F.col("__lang") != "und") & (F.col("__score") > 0))
+    return found.withColumn("lang", F.col("__lang")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id (five-word shingles, 0.8)."""
-    found = near_duplicates(docs, MinHashConfig(shingle=5, percent=80))
-    gone = write_table(found.filter("not kept").select("doc_id").distinct(), "pipeline-gone")
+    """One document of each group of near-duplicates stays: the one with the smallest id (five-word shingles, 0.8).
+
+    Rows are judged by id and text. Rows that repeat both (null ids are equal here) are one document, of which one row stays;
+    other rows without an id stay. A row goes for its own text only, not because another with its id does. Null and empty
+    texts are near to nothing; an empty table stays empty.
+    """
+    marked = docs.withColumn("__mark", F.xxhash64("text"))
+    found = near_duplicates(marked, MinHashConfig(shingle=5, percent=80), carry=("__mark",))
+    gone = found.filter("not kept").select("doc_id", "__mark").distinct()
     # The ids outgrow a broadcast with the corpus, so they are hashed partition by partition at every size.
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    kept = marked.join(gone.hint("shuffle_hash"), ["doc_id", "__mark"], "left_anti")
+    return kept.dropDuplicates(["doc_id", "__mark"]).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +51,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words (or the whole) of a benchmark item go."""
+    """Documents that hold ten consecutive words (or the whole) of a benchmark item go.
+
+    Each row is judged by its own text, whatever its doc_id; null and empty texts hold nothing; an empty table stays empty.
+    """
     return decontam.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and their decoding, for every document left."""
+    """doc_id, n_tokens, ids and their decoding, for every row left; a null text is an empty one, and whole texts are read."""
     coded = bpe.bpe_encode(docs, tokenizer_path())
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
@@ -58,7 +70,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage has written for itself goes once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_path(spark, f"pipeline-{name}")
+        with passing_tables(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return docs
