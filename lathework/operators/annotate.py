@@ -51,7 +51,8 @@ def retried(call: Callable[[], Any], tries: int = 3, wait: tuple[float, float] =
 class Annotator:
     """A function of a row (dict) to a dict of the schema's fields, or an error.
 
-    on_error: `default` fills in `fallback`, `passthrough` copies fields named in `passthrough` from the row, `drop` drops it.
+    on_error: `default` fills in `fallback`, `passthrough` copies fields named in `passthrough` from the row, `drop` drops it,
+    `raise` fails the job.
     `load` makes the function once in each worker, so a model is loaded once for many rows. `wait` is that of `retried`.
     """
 
@@ -67,7 +68,7 @@ class Annotator:
 
 def annotate(rows: DataFrame, annotator: Annotator) -> DataFrame:
     """rows with the annotator's columns added (replacing those of the same names)."""
-    if annotator.on_error not in ("default", "passthrough", "drop"):
+    if annotator.on_error not in ("default", "passthrough", "drop", "raise"):
         raise ValueError(f"no error policy {annotator.on_error!r}")
     new = [x.strip().split(" ")[0] for x in re.split(r",(?![^<(]*[>)])", annotator.schema)]
     kept = [f.name for f in rows.schema.fields if f.name not in new]
@@ -89,6 +90,8 @@ def annotate(rows: DataFrame, annotator: Annotator) -> DataFrame:
                 return {n: annotator.fallback.get(n) for n in new}
             if annotator.on_error == "passthrough":
                 return {n: row.get(annotator.passthrough.get(n, n)) for n in new}
+            if annotator.on_error == "raise":
+                raise
             return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,6 +106,21 @@ def annotate(rows: DataFrame, annotator: Annotator) -> DataFrame:
     return rows.mapInArrow(run, out)
 
 
+def map_rows(rows: DataFrame, call: Callable[[dict], dict], schema: str) -> DataFrame:
+    """rows with the fields of the schema that a function of each row gives, for what no expression can say; an error fails the job (O-U1)."""
+    return annotate(rows, Annotator(schema, lambda: call, "raise", tries=1))
+
+
+def filter_batches(rows: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
+    """The rows for which a function of a batch says so, for what no expression can say; a filter by place needs a column of it, as batches have no order (O-U1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch), pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def keyword_flag(text: Column | str, words: tuple[str, ...]) -> Column:
     """Whether any of the words stands in the text, in any case; false for null."""
     low = F.lower(X.col(text))

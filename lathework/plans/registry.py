@@ -728,6 +728,18 @@ def scored_frames(spark, d):
     return annotate.score_frames(frames, lambda: lambda batch: [len(x) / 1000 for x in batch], 5)
 
 
+@register("SELECT doc_id, lang || '-' || source AS tag, CAST(length(text) % 10 AS BIGINT) AS digit FROM documents WHERE length(text) % 10 < 7")
+def mapped_rows(spark, d):
+    rows = annotate.map_rows(table(spark, d, "documents").select("doc_id", "lang", "source", "text"), lambda r: {"tag": f"{r['lang']}-{r['source']}", "digit": len(r["text"]) % 10}, "tag string, digit long")
+    return annotate.filter_batches(rows.select("doc_id", "tag", "digit"), lambda batch: [x < 7 for x in batch.column("digit").to_pylist()])
+
+
+@register("SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN doc_id / 2 END AS duration FROM documents")
+def probed_durations(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "lost").otherwise(F.col("doc_id").cast("string")).alias("path"))
+    return store.probe_durations(rows, lambda path: int(path) / 2).select("doc_id", "duration")
+
+
 @register(f"""WITH c AS (SELECT conv_id * 1000 + turn AS video_id, {WORDS_OF.format('text')} AS w FROM conversations WHERE octet_length(encode(text)) % 7 <> 0)
 SELECT video_id, CAST(unnest(range(len(w))) AS INT) AS pos, unnest(w) AS text, unnest(list_transform(range(len(w)), lambda i: i / 2)) AS ws, unnest(list_transform(range(len(w)), lambda i: CASE WHEN i % 3 = 0 THEN NULL ELSE i / 2 + 0.25 END)) AS we FROM c""")
 def transcripts(spark, d):

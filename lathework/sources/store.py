@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField, StructType
 
 from lathework.functions import scalars as X
 from lathework.operators.annotate import retried
@@ -184,6 +184,18 @@ def decode_media(files: DataFrame, decoder: Callable[[bytes], tuple[int, float,
     return out.withColumns({n: F.col("__notes")[n] for n in names}).drop("__notes")
 
 
+def probe_durations(files: DataFrame, probe: Callable[[str], float], key: str = "path") -> DataFrame:
+    """files with duration, by an external probe of each path; null where it fails (O-S13)."""
+
+    def seconds(path: str) -> float | None:
+        try:
+            return float(probe(path))
+        except Exception:  # noqa: BLE001  a probe fails in its own ways
+            return None
+
+    return _mapped(files, key, "", "duration", DoubleType(), pa.float64(), seconds)
+
+
 def extract_frames(frames: DataFrame, extractor: Callable[[str, float], bytes], cache: str, tries: int = 5) -> DataFrame:
     """frames (path, t) with image, the path of the frame at t, made by an extractor where the cache hasn't it yet (O-S14).
 
