@@ -44,7 +44,7 @@ class MinHashConfig:
     slack: float = 0.22
     seed: int = 20240607
     #: Side of the blocks in which documents under an open hub are compared.
-    block: int = 1024
+    block: int = 256
 
 
 def _constants(cfg: MinHashConfig) -> tuple[np.ndarray, np.ndarray]:
