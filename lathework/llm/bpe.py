@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathework.llm.common import Shared
+from lathework.llm.common import Shared, text_runs
 
 #: Word pieces as the vocabulary's splitter takes them; fixed by the tokenizer file.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -37,7 +37,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = r"[\x00-\x1B\x20-˿Ѐ-҂Ҋ-ԯ‐-‧一-鿿가-힣]*"
 #: A worker keeps the encodings of the words it met last: this many, and as many from before.
 KEPT_WORDS = 250_000
-SLICE_CHARS = 1 << 20
+SLICE_BYTES = 1 << 20
 NEVER = 1 << 60
 
 
@@ -218,19 +218,6 @@ class Encoder:
         return [list(chain.from_iterable(map(get, words))) for words in split]
 
 
-def _runs(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    run, start, size = [], 0, 0
-    for i, text in enumerate(texts):
-        text = text or ""
-        if run and size + len(text) > SLICE_CHARS:
-            yield start, run
-            run, start, size = [], i, 0
-        run.append(text)
-        size += len(text)
-    if run:
-        yield start, run
-
-
 def bpe_encode(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids array<int> and decoded string of every row."""
     shared = Shared(docs.sparkSession, Vocabulary(tokenizer_path))
@@ -240,7 +227,8 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", tex
         vocabulary = shared.get()
         encoder = Encoder(vocabulary)
         for batch in batches:
-            for start, texts in _runs(batch.column(1).to_pylist()):
+            for start, run_ in text_runs(batch.column(1), SLICE_BYTES):
+                texts = ["" if t is None else t for t in run_.to_pylist()]
                 coded = encoder.encode(texts)
                 ends = np.r_[0, np.cumsum([len(x) for x in coded])].astype(np.int32)
                 flat = np.fromiter(chain.from_iterable(coded), np.int32, int(ends[-1]))

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,18 +70,24 @@ def lowered(text) -> object:
     return F.translate(F.coalesce(text, F.lit("")), UPPER_AZ, UPPER_AZ.lower())
 
 
-def slices(texts: list[str | None], limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+def text_runs(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """(index of the first text, texts) in runs of about `limit` bytes, so that what a batch becomes in Python follows the run and not the batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(column):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield start, column.slice(start, stop - start)
+        start = stop
+
+
+def slices(texts: pa.Array | list[str | None], limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, lower-cased UTF-8 texts) in runs of about `limit` bytes; null reads as empty."""
-    run, start, size = [], 0, 0
-    for i, text in enumerate(texts):
-        data = b"" if text is None else text.encode("utf-8", "surrogatepass").translate(LOWER)
-        if run and size + len(data) > limit:
-            yield start, run
-            run, start, size = [], i, 0
-        run.append(data)
-        size += len(data)
-    if run:
-        yield start, run
+    if isinstance(texts, list):
+        texts = pa.array([None if t is None else t.encode("utf-8", "surrogatepass") for t in texts], pa.large_binary())
+    kind = pa.large_binary() if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else pa.binary()
+    for start, run in text_runs(texts, limit):
+        yield start, [b"" if t is None else t.translate(LOWER) for t in run.cast(kind).to_pylist()]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -114,7 +114,7 @@ def _block(rows: DataFrame, items: list[tuple[str, str | None]], cfg: DecontamCo
         test = shared.get()
         names = pa.array(test.names, pa.string())
         for batch in batches:
-            for start, own in slices(batch.column(text).to_pylist()):
+            for start, own in slices(batch.column(text)):
                 sizes, found = test.matches(own)
                 structs = pa.StructArray.from_arrays([pa.array(found[:, 1]), names.take(pa.array(found[:, 2])), pa.array(found[:, 3]), pa.array(found[:, 4])], names=["start", "item_id", "item_start", "length"])
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(found[:, 0], np.arange(len(own) + 1)).astype(np.int32)), structs)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathework.llm.common import Shared
+from lathework.llm.common import Shared, text_runs
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 STOP = re.compile(r"[>\"']")
@@ -417,7 +417,7 @@ def main_texts(pages: list[str | None], p: Potentials) -> list[str]:
     return [" ".join(text for block, text in pieces if keep[block]) for pieces in batch.pieces]
 
 
-def extract_main_text(pages: DataFrame, trained: Potentials | None = None, keep: tuple[str, ...] = ("page_id", "url"), html_column: str = "html", slice_chars: int = 1 << 20) -> DataFrame:
+def extract_main_text(pages: DataFrame, trained: Potentials | None = None, keep: tuple[str, ...] = ("page_id", "url"), html_column: str = "html", slice_bytes: int = 1 << 20) -> DataFrame:
     """The kept columns and text, the page's main text."""
     shared = Shared(pages.sparkSession, trained or train(training_pages()))
     rows = pages.select(*keep, F.col(html_column).cast("string").alias("__html"))
@@ -426,15 +426,8 @@ def extract_main_text(pages: DataFrame, trained: Potentials | None = None, keep:
         potentials = shared.get()
         for batch in batches:
             *kept, html_ = batch.columns
-            texts = html_.to_pylist()
-            start = 0
-            while start < len(texts):
-                stop, size = start, 0
-                while stop < len(texts) and (stop == start or size + len(texts[stop] or "") <= slice_chars):
-                    size += len(texts[stop] or "")
-                    stop += 1
-                yield pa.RecordBatch.from_arrays([*(c.slice(start, stop - start) for c in kept), pa.array(main_texts(texts[start:stop], potentials), pa.string())], names=[*keep, "text"])
-                start = stop
+            for start, run_ in text_runs(html_, slice_bytes):
+                yield pa.RecordBatch.from_arrays([*(c.slice(start, len(run_)) for c in kept), pa.array(main_texts(run_.to_pylist(), potentials), pa.string())], names=[*keep, "text"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, f"{fields}, text string")

@@ -28,10 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lathework.llm.common import Shared, mix64, write_table
+from lathework.llm.common import Shared, mix64, text_runs, write_table
 
 U = np.uint64
-SLICE_CHARS = 1 << 19
+SLICE_BYTES = 1 << 19
 #: An n-gram has two slots, from different bits of its hash.
 HASHES, HASH_BITS = 2, 24
 
@@ -87,18 +87,6 @@ def _slot(h: np.ndarray, k: int, log2: int) -> np.ndarray:
     return ((h >> U(k * HASH_BITS)) & U((1 << log2) - 1)).astype(np.int64)
 
 
-def _runs(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
-    run, start, size = [], 0, 0
-    for i, text in enumerate(texts):
-        if run and size + len(text or "") > SLICE_CHARS:
-            yield start, run
-            run, start, size = [], i, 0
-        run.append(text)
-        size += len(text or "")
-    if run:
-        yield start, run
-
-
 @dataclass(frozen=True)
 class LangModel:
     languages: list[str]
@@ -129,7 +117,8 @@ def train(labelled: DataFrame, cfg: LangConfig = LangConfig()) -> LangModel:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tags = batch.column("number").to_numpy()
-            for start, texts in _runs(batch.column("text").to_pylist()):
+            for start, run_ in text_runs(batch.column("text"), SLICE_BYTES):
+                texts = run_.to_pylist()
                 for h, counts in grams(texts, cfg.sizes):
                     ends = np.r_[0, np.cumsum(counts)]
                     own = defaultdict(list)
@@ -167,7 +156,8 @@ def labelled(docs: DataFrame, model: LangModel, cfg: LangConfig = LangConfig(),
         m = shared.get()
         names = np.array([*m.languages, "und"], object)
         for batch in batches:
-            for start, texts in _runs(batch.column(text).to_pylist()):
+            for start, run_ in text_runs(batch.column(text), SLICE_BYTES):
+                texts = run_.to_pylist()
                 evidence = np.zeros((len(texts), len(m.languages)))
                 for h, counts in grams(texts, cfg.sizes) if m.languages else ():
                     ends = np.r_[0, np.cumsum(counts)]

@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegralType, LongType, StringType, StructField, StructType
 
-from lathework.llm.common import mix64, write_table
+from lathework.llm.common import mix64, text_runs, write_table
 
 U = np.uint64
 #: Odd factors of the two digests.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-SLICE_CHARS = 1 << 20
+SLICE_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -122,19 +122,6 @@ def digests(words: Words, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def text_slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """(index of the first text, texts) in runs of about SLICE_CHARS code points; null reads as empty."""
-    run, start, size = [], 0, 0
-    for i, text in enumerate(texts):
-        if run and size + len(text or "") > SLICE_CHARS:
-            yield start, run
-            run, start, size = [], i, 0
-        run.append(text or "")
-        size += len(run[-1])
-    if run:
-        yield start, run
-
-
 #: What is known of a run within its slice: it is the earliest there; an earlier document has it; its own document has it twice.
 FIRST, GONE, AGAIN = 0, 1, 2
 
@@ -202,7 +189,8 @@ def line_dedup(docs: DataFrame, cfg: LineConfig = LineConfig(), doc_id: str = "d
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, own in text_slices(batch.column(2).to_pylist()):
+            for start, run in text_runs(batch.column(2), SLICE_BYTES):
+                own = ["" if t is None else t for t in run.to_pylist()]
                 ids, marks = (batch.column(c).slice(start, len(own)) for c in (0, 1))
                 rank = pc.rank(ids, sort_keys="ascending", null_placement="at_end", tiebreaker="min").to_numpy().astype(np.int64)
                 rank = np.unique(np.stack([rank, marks.to_numpy()]), axis=1, return_inverse=True)[1].reshape(-1)
@@ -229,16 +217,19 @@ def line_dedup(docs: DataFrame, cfg: LineConfig = LineConfig(), doc_id: str = "d
         shape = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             *own, gone_, again_ = batch.columns
-            values, spans = own[place].to_pylist(), [[] for _ in range(len(batch))]
-            hit = [i for i, (x, y) in enumerate(zip(gone_.to_pylist(), again_.to_pylist())) if x is not None]
-            for start, run in text_slices([values[i] for i in hit]):
-                some = hit[start : start + len(run)]
-                words = read_words(run, cfg.units)
+            whole = own[place].cast(pa.string())
+            known = pc.and_(gone_.is_valid(), whole.is_valid())
+            hit = np.flatnonzero(known.to_numpy(zero_copy_only=False))
+            spans, cleaned = [[] for _ in range(len(batch))], []
+            for start, run in text_runs(whole.take(pa.array(hit)), SLICE_BYTES):
+                some, texts = hit[start : start + len(run)].tolist(), run.to_pylist()
+                words = read_words(texts, cfg.units)
                 out = covered(words, cfg, [set(gone_[i].as_py()) for i in some], [set(again_[i].as_py()) for i in some])
                 for k, i in enumerate(some):
-                    values[i], found_ = cut(words, out, k, run[k])
+                    left, found_ = cut(words, out, k, texts[k])
+                    cleaned.append(left)
                     spans[i] = [{"start": a, "end": b} for a, b in found_]
-            own[place] = pa.array(values, pa.string())
+            own[place] = pc.replace_with_mask(whole, known, pa.array(cleaned, pa.string()))
             yield pa.RecordBatch.from_arrays([*own, pa.array(spans, shape)], names=[*names, "removed_spans"])
 
     return rows.mapInArrow(clean, StructType([*plain.schema.fields, StructField("removed_spans", SPANS)]))

@@ -107,7 +107,7 @@ def features(docs: DataFrame, cfg: MinHashConfig, doc_id: str = "doc_id", text:
         salt = mix64(np.arange(1, len(factors) + 1, dtype=np.uint64))
         for batch in batches:
             *own, texts = batch.columns
-            for start, run_ in slices(texts.to_pylist()):
+            for start, run_ in slices(texts):
                 rows = []
                 for s in shingle_sets(run_, cfg.shingle, letters):
                     if not len(s):
@@ -174,7 +174,7 @@ def _sets(texts: DataFrame, cfg: MinHashConfig) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, _ = _constants(cfg)
         for batch in batches:
-            for start, run_ in slices(batch.column(1).to_pylist()):
+            for start, run_ in slices(batch.column(1)):
                 small = [np.unique((s >> U(32)).astype(np.uint32)).tobytes() for s in shingle_sets(run_, cfg.shingle, letters)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(small)), pa.array(small, pa.binary())], names=["rep", "hashes"])
 
