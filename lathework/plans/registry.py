@@ -814,7 +814,7 @@ def score_arrays(spark, d):
 @register("SELECT 'cat' || user_id % 3 AS category, 'u' || user_id AS video_id, CASE WHEN user_id % 4 <> 0 THEN count(*) END AS n_frames, CASE WHEN user_id % 4 <> 0 THEN CAST(2.0 AS DOUBLE) END AS fps FROM events WHERE user_id % 5 <> 0 GROUP BY user_id")
 def media_of_files(spark, d):
     """Files listed, looked for, read by their paths and decoded; the decoder fails on every fourth."""
-    listing = store.list_files(spark, _score_files(spark, d), "*.npy")
+    listing = store.write_table(store.list_files(spark, _score_files(spark, d), "*.npy"), "listing")  # listed once
     user = F.substring("video_id", 2, 20).cast("long")
     wanted = listing.filter(user % 5 != 0).select("category", "video_id", "path").unionByName(listing.limit(1).select("category", "video_id", F.lit("/no/such/file.npy").alias("path")))
 
@@ -833,7 +833,7 @@ def media_of_files(spark, d):
 
 @register("SELECT 'u' || user_id AS video_id, CASE WHEN user_id % 2 = 0 THEN 'Skipped' ELSE 'Success' END AS status FROM events GROUP BY user_id")
 def copied_files(spark, d):
-    listing, target = store.list_files(spark, _score_files(spark, d), "*.npy"), _folder(spark, "copies")
+    listing, target = store.write_table(store.list_files(spark, _score_files(spark, d), "*.npy"), "listing"), _folder(spark, "copies")
     even = F.substring("video_id", 2, 20).cast("long") % 2 == 0
     store.copy_new(listing.filter(even), target).collect()  # a status for each file
     done = store.write_table(store.copy_new(listing, target), "copied")

@@ -319,6 +319,6 @@ def copy_new(files: DataFrame, folder: str) -> DataFrame:
             out.write(retried(lambda: _read(row["path"])))
         target.move(draft, place)
 
-    known = files.select("path", name.alias("name")).join(there, "name", "left")
+    known = write_table(files.select("path", name.alias("name")).join(there, "name", "left"), "copies-known")
     done = known.filter("there").select("path", F.lit("Skipped").alias("status"))
     return run_side_effect(known.filter("there is null").select("path", "name"), copy, "path").unionByName(done)
