@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from lathework.llm.common import UPPER_AZ, lowered
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words. Splitting here is many times faster than matching WORD, as Java is slow at negated ranges.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: str) -> list[str]:
@@ -128,7 +130,7 @@ commercial applications, and to alter it and redistribute it freely, subject to
 
 
 def file_words(text: Column | str) -> Column:
-    return F.regexp_extract_all(lowered(F.col(text) if isinstance(text, str) else text), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lowered(F.col(text) if isinstance(text, str) else text), GAP, -1), "")
 
 
 def word_counts(docs: DataFrame, library: tuple[Template, ...], text: str = "text") -> dict[str, int]:
