@@ -57,7 +57,7 @@ def _head(role: Column) -> Column:
 def chat_windows(turns: DataFrame, cfg: ChatConfig = ChatConfig()) -> DataFrame:
     """conv_id, span, n_repeated (turns at the front that an earlier window has), text, loss_spans (start, end in code points)."""
     rows = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("tokens", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) + MARK_TOKENS)
+    rows = rows.withColumn("tokens", F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+", -1), "")) + MARK_TOKENS)
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.withColumn("p", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"))
     rows = rows.withColumn("opening", F.first(F.struct("role", "text", "tokens")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
