@@ -158,9 +158,12 @@ def covered(words: Words, cfg: LineConfig, gone: list[set[int]], again: list[set
     for i, (all_, later) in enumerate(zip(gone, again)):
         s = slice(ends[i], ends[i + 1])
         out = np.isin(d1[s], np.array(list(all_), np.int64))
-        for d in later - all_:
-            same = np.flatnonzero(d1[s] == d)
-            out[same[a[s][same] >= b[s][same[0]]]] = True
+        twice = np.flatnonzero(np.isin(d1[s], np.array(list(later - all_), np.int64)))
+        twice = twice[np.argsort(d1[s][twice], kind="stable")]  # runs of a digest together, in their order
+        if len(twice):
+            new = np.r_[True, d1[s][twice][1:] != d1[s][twice][:-1]]
+            first = twice[np.maximum.accumulate(np.where(new, np.arange(len(twice)), 0))]
+            out[twice[a[s][twice] >= b[s][first]]] = True
         np.add.at(change, a[s][out], 1)
         np.add.at(change, b[s][out], -1)
     return np.cumsum(change[:-1]) > 0

@@ -237,7 +237,10 @@ def test_passages_inside_lines_go_in_time(spark):
     make = lambda n: " ".join(rng.choice("aeiou") + "".join(rng.choice("rstlnm") for _ in range(5)) for _ in range(n))
     passage = " ".join(make(9).capitalize() + "." for _ in range(6))
     texts = [f"{make(30)} {passage} {make(30)}" for _ in range(20)] + [passage.replace(" ", "\n", 7).replace(" ", "  ")] + [make(400_000), f"{make(200_000)} {passage} {make(200_000)}"]
+    lines = [make(25) for _ in range(8000)]
+    texts.append("\n".join(lines * 2))  # each line twice in one text
     got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs(spark, texts)).collect()}
+    assert got[23]["text"] == "\n".join(lines)
     assert got[0]["text"] == texts[0] and got[21]["text"] == texts[21] and got[20]["text"] == ""
     for i in [*range(1, 20), 22]:
         assert got[i]["text"] == texts[i].replace(passage + " ", "") and len(got[i]["removed_spans"]) == 1
