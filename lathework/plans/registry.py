@@ -16,7 +16,9 @@ from pyspark.sql.window import Window
 
 from lathework.functions import scalars as X
 from lathework.operators import annotate, evaluate, examples, mix, packing, segments
+from lathework.plans import canned, config
 from lathework.sources import store
+from lathework.streaming import segments as streaming
 
 THRESHOLD, MAX_GAP = 100.0, 10
 #: Events are days apart, and so are their segments' ends.
@@ -849,6 +851,34 @@ def action_status(spark, d):
     return store.run_side_effect(table(spark, d, "supplier"), act, "s_suppkey")
 
 
+@register("SELECT c_custkey, c_name FROM customer")
+def incremental_run(spark, d):
+    """Files come in two lots, the second with keys of the first once more; two runs leave each key once."""
+    rows, source, out, state = table(spark, d, "customer").select("c_custkey", "c_name"), _folder(spark, "feed"), _folder(spark, "fed"), _folder(spark, "feed-state")
+    for lot in ("c_custkey % 3 < 2", "c_custkey % 3 > 0"):
+        rows.filter(lot).write.mode("append").json(source)
+        streaming.run_incrementally(spark, source, "c_custkey long, c_name string", state, out, lambda df: df, "c_custkey").awaitTermination()
+    return spark.read.parquet(out)
+
+
+CHAT = "'<|im_start|>user' || chr(10)", "' what is ' || p_name || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || p_name || '<|im_end|>' || chr(10)"
+
+
+@register(f"""SELECT p_partkey AS row_idx, md5({CHAT[0]} || '<|pad|>' || {CHAT[1]}) AS text, {joined(f"{IDS.format(CHAT[0])} || {MEDIA.format(0)} || {IDS.format(CHAT[1])}")} AS ids, '1' AS copies FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT p_partkey, md5({CHAT[0]} || '<|pad|>' || {CHAT[1]}), {joined(f"{IDS.format(CHAT[0])} || {MEDIA.format(0)} || {IDS.format(CHAT[1])}")}, '1,2' FROM part WHERE p_partkey % 2 = 1""")
+def canned_run(spark, d):
+    """Two datasets by their ratios, settings from YAML and arguments, chats with a medium each, saved and read."""
+    folder, out = _folder(spark, "canned"), _folder(spark, "canned-out")
+    said = F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("<video> what is "), "p_name").alias("content")), F.struct(F.lit("assistant").alias("role"), F.col("p_name").alias("content"))))
+    notes = F.concat(F.lit('[{"num_frames":'), F.col("p_partkey") % 3, F.lit(',"resolution":['), 28 * (1 + F.col("p_size") % 5), F.lit(",56]}]"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("row_idx"), said.alias("messages"), notes.alias("video_metas"))
+    rows.filter("row_idx % 2 = 0").write.json(f"{folder}/even.jsonl")
+    store.save_dataset(rows.filter("row_idx % 2 = 1"), f"{folder}/odd/train")
+    text = f"output_path: {out}\ndatasets:\n  - path: {folder}/even.jsonl\n    ratio: 1\n  - path: {folder}/odd\n    ratio: 2.0\n"
+    saved = canned.run(spark, config.load_settings(canned.Settings, text, ["--model_token", "<|pad|>", "--insert_system=false", "--overwrite"]))
+    return saved.groupBy("row_idx").agg(F.md5(F.first("text")).alias("text"), digest(F.first("input_ids")).alias("ids"), F.array_join(F.array_sort(F.collect_list(F.col("copy").cast("string"))), ",").alias("copies"))
+
+
 @register("SELECT count(*) AS n, round(avg(c_acctbal), 6) AS mean FROM customer")
 def metric_document(spark, d):
     path = _folder(spark, "metric")
