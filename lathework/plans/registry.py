@@ -842,6 +842,20 @@ def copied_files(spark, d):
     return done.select(X.path_id("path", first_dot=True).alias("video_id"), "status")
 
 
+@register("SELECT 'u' || user_id || '_0_' || user_id % 5 || '.mp4' AS clip, CASE WHEN user_id % 7 = 0 THEN 'Warning: no source for u' || user_id || '_0_' || user_id % 5 || '.mp4' WHEN user_id % 5 = 0 THEN 'Error: an empty clip' ELSE 'Success' END AS status FROM events GROUP BY user_id")
+def saved_clips(spark, d):
+    listing = store.write_table(store.list_files(spark, _score_files(spark, d), "*.npy"), "listing")
+    user = F.substring("video_id", 2, 20).cast("long")
+    clips = listing.select(F.when(user % 7 != 0, F.col("path")).alias("path"), X.clip_name("video_id", F.lit(0.0), user % 5).alias("clip"), F.lit(0.0).alias("start"), (user % 5).cast("double").alias("end"))
+
+    def cut(path, start, end):
+        if end <= start:
+            raise ValueError("an empty clip")
+        return b"x" * int(end - start)
+
+    return store.save_clips(clips, cut, _folder(spark, "clips"))
+
+
 @register("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'Error: no clip ' || s_suppkey ELSE 'Success' END AS status FROM supplier")
 def action_status(spark, d):
     def act(row):

@@ -298,6 +298,34 @@ def run_side_effect(df: DataFrame, action: Callable[[dict], Any], key: str) -> D
     return df.mapInArrow(run, StructType([df.schema[key], StructField("status", StringType())]))
 
 
+def save_clips(clips: DataFrame, cutter: Callable[[str, float, float], bytes], folder: str) -> DataFrame:
+    """clip, status of cutting clips (path, clip, start, end) out of their sources into folder/category/clip (O-K4, O-K5).
+
+    A cutter makes the bytes of a clip. Warning: the source isn't there; Error: the cutter failed; else Success. A clip is
+    written beside its place and then moved there.
+    """
+
+    def save(row: dict) -> str:
+        if row["path"] is None or open_uri(row["path"])[0].get_file_info(open_uri(row["path"])[1]).type != fs.FileType.File:
+            return f"Warning: no source for {row['clip']}"
+        try:
+            data = cutter(row["path"], row["start"], row["end"])
+        except Exception as error:  # noqa: BLE001  the status says what went wrong
+            return f"Error: {error}"
+        store, root = open_uri(folder)
+        parts = row["path"].split("/")
+        place = f"{root}/{parts[-2] if len(parts) > 1 else ''}/{row['clip']}"
+        store.create_dir(place.rpartition("/")[0], recursive=True)
+        draft = f"{place}.{uuid.uuid4().hex}"
+        with store.open_output_stream(draft) as out:
+            out.write(data)
+        store.move(draft, place)
+        return "Success"
+
+    rows = clips.select("clip", F.struct("path", "clip", "start", "end").alias("__row"))
+    return _mapped(rows, "__row", "__row", "status", StringType(), pa.string(), save)
+
+
 def copy_new(files: DataFrame, folder: str) -> DataFrame:
     """path, status of copying files (path) to folder/category/name; what is there already isn't copied again (O-K7).
 
