@@ -140,8 +140,12 @@ class Vocabulary:
                     raise ValueError(f"no token ends {word[:i]!r}")
             for k in range(max(0, n - self.longest_final), n):
                 token = word[k:]
-                if token in final and (not k or fits(last[k - 1], token + end)):
-                    break
+                if token in final:
+                    if not k:
+                        break
+                    good = known((last[k - 1], token + end))
+                    if fits(last[k - 1], token + end) if good is None else good:
+                        break
             else:
                 raise ValueError(f"no token ends {word!r}")
             parts = [ids[token + end]]
@@ -195,13 +199,22 @@ class Encoder:
                 out += ["\0\0" + w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
         return out
 
+    def _pieces(self, chunk: str) -> tuple[str, ...] | list[str]:
+        """The words of a chunk; letters alone, or with one other sign behind, need no splitter."""
+        if chunk.isalpha() or chunk.startswith("\0\0"):
+            return (chunk,)
+        if not chunk[-1].isalnum() and chunk[:-1].isalpha():
+            return (chunk[:-1], chunk[-1])
+        return self.find(chunk)
+
     def _learn(self, chunks: set[str]) -> None:
         """Ids of chunks not met lately, through the trie of their distinct words."""
         letters = self.vocabulary.letters
-        split = {c: (c,) if c.startswith("\0\0") else self.find(c) for c in chunks if c not in self.special}
+        split = {c: self._pieces(c) for c in chunks if c not in self.special}
         words = set(chain.from_iterable(split.values()))
         coded = {w: self.young.get(w) or self.old[w] for w in words if w in self.young or w in self.old}
-        new = {w: w[2:] if w.startswith("\0\0") else "".join(map(letters.__getitem__, w.encode())) for w in words.difference(coded)}
+        # A printable ASCII word is its own byte letters.
+        new = {w: w if w.isascii() and w.isprintable() else w[2:] if w.startswith("\0\0") else "".join(map(letters.__getitem__, w.encode())) for w in words.difference(coded)}
         fresh = self.vocabulary.encode_words(list(set(new.values())))
         coded.update((w, fresh[x]) for w, x in new.items())
         self.young.update((c, tuple(chain.from_iterable(map(coded.__getitem__, words)))) for c, words in split.items())
